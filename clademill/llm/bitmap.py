@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 SEGMENT_BITS = 18
 
 
-def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """2**bits bits from a DataFrame of one long column: the driver gets them in packed segments, 2**bits / 8 bytes at most."""
+def bitmap(keys: DataFrame, bits: int, *, hashed: bool = False) -> np.ndarray:
+    """2**bits bits from a DataFrame of one long column: the driver gets them in packed segments, 2**bits / 8 bytes at most.
+
+    hashed: the column is a hash already, and its last bits are the slot."""
     name = keys.columns[0]
     mask = (1 << bits) - 1
-    slots = keys.select(F.xxhash64(name).bitwiseAND(F.lit(mask)).alias("slot")).distinct().withColumn("segment", F.shiftright("slot", SEGMENT_BITS))
+    slots = keys.select((F.col(name) if hashed else F.xxhash64(name)).bitwiseAND(F.lit(mask)).alias("slot")).distinct().withColumn("segment", F.shiftright("slot", SEGMENT_BITS))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(1 << SEGMENT_BITS, bool)

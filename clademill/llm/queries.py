@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clademill.llm import bpe, context_mix, exact_dedup, lang_id, line_dedup, media, near_dedup, packing, token_counts
+from clademill.llm import bpe, context_mix, exact_dedup, lang_id, line_dedup, media, near_dedup, packing, suffix_dedup, token_counts
 from clademill.llm.common import documents
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -43,6 +43,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir)).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(documents(spark, sf_dir), k=3, share=(85, 100))
 
@@ -51,7 +55,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_lm_score, op3_language_id, op4_exact_dedup, op5_packing, op6_token_counts, op7_line_dedup, op9_near_dedup, op10_media_columns)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_lm_score, op3_language_id, op4_exact_dedup, op5_packing, op6_token_counts, op7_line_dedup, op8_suffix_dedup, op9_near_dedup, op10_media_columns)}
 
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
