@@ -59,5 +59,11 @@ def crc_fold(id_col: Column | str, mod: int = 5) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def strings(values: list, kind: pa.DataType) -> pa.Array:
-    return pa.array(values, kind)
+
+def carried_struct(docs: DataFrame, carry: tuple[str, ...]) -> list[Column]:
+    """The columns to carry along as one struct, so that none of their names can clash; nothing without any."""
+    return [F.struct(*(docs[c] for c in carry)).alias("carried")] if carry else []
+
+
+def carried_schema(df: DataFrame) -> str:
+    return f", carried {df.schema['carried'].dataType.simpleString()}" if "carried" in df.columns else ""

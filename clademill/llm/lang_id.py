@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clademill.llm.common import crc_fold, map_batches
+from clademill.llm.common import carried_schema, carried_struct, crc_fold, map_batches
 
 #: Symbols: 0 is the border between words, 1 to N_SYMBOLS - 1 are letters.
 N_SYMBOLS = 32
@@ -161,8 +161,9 @@ def prototypes(counts: np.ndarray) -> np.ndarray:
     return unit.astype(np.float32)
 
 
-def predict(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, has_letter, lang_pred, score, cosine): the nearest prototype of every whole text; score is its share of the softmax over the cosines.
+def predict(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, has_letter, lang_pred, score, cosine): the nearest prototype of every whole text; score is its share of the softmax over the cosines. With carry,
+    the text comes along, and `carried`, a struct of the columns named.
 
     `und` with score 0 where the text is null or has no letter, or where nothing was learnt. Equal cosines: the first language in order. Narrow: no shuffle.
     What is broadcast is bounded by the number of languages times DIMENSION."""
@@ -189,11 +190,12 @@ def predict(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text
                 score.append(float(1 / np.exp((near - near[best]) / TEMPERATURE).sum()))
                 cosine.append(float(near[best]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(letters, pa.bool_()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(cosine, pa.float64())],
-                ["doc_id", "has_letter", "lang_pred", "score", "cosine"],
+                [batch.column(0), pa.array(letters, pa.bool_()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(cosine, pa.float64()), *batch.columns[1:] * bool(carry)],
+                ["doc_id", "has_letter", "lang_pred", "score", "cosine", *["text", "carried"] * bool(carry)],
             )
 
-    return map_batches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, "doc_id long, has_letter boolean, lang_pred string, score double, cosine double")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *carried_struct(docs, carry))
+    return map_batches(rows, run, "doc_id long, has_letter boolean, lang_pred string, score double, cosine double" + ", text string" * bool(carry) + carried_schema(rows))
 
 
 def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:

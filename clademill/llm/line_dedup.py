@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clademill.llm.common import map_batches, materialise
+from clademill.llm.common import carried_schema, carried_struct, map_batches, materialise
 
 GRAM, WINDOW = 2, 2
 #: The number that stands for a null identifier; it sorts first.
@@ -101,13 +101,13 @@ def repeated_runs(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW) ->
     return found.groupBy("id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """Deletes later repeated runs of lines.
 
-    One row for each row of `docs`: doc_id, text (what is left; null stays null), n_lines (not blank), n_removed. Deleted lines go with their line feeds; blank lines stay. Rows of the same
+    One row for each row of `docs`: doc_id, text (what is left; null stays null), n_lines (not blank), n_removed, and `carried`, a struct of the columns named in carry, if any. Deleted lines go with their line feeds; blank lines stay. Rows of the same
     identifier and text are one place and keep or lose the same lines; of rows that share an identifier with different texts, one (the smallest by its hashes) is matched and its runs go from all of them.
     A null identifier sorts first. Other columns are not read. Shuffled: fingerprints, line hashes of documents with repeats, and the texts once."""
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), docs[text_col].alias("text"))
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), docs[text_col].alias("text"), *carried_struct(docs, carry))
     runs = repeated_runs(rows.select("id", F.coalesce("text", F.lit("")).alias("text")), gram=gram, window=window)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +121,8 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 n_lines.append(len(full))
                 removed.append(len(gone))
             ids = pa.array([None if x == NO_ID else x for x in batch.column(0).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(removed, pa.int64())], ["doc_id", "text", "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(removed, pa.int64()), *batch.columns[3:]], ["doc_id", "text", "n_lines", "n_removed", *["carried"] * bool(carry)])
 
-    return map_batches(rows.join(runs, "id", "left").select("id", "text", "runs"), cut, "doc_id long, text string, n_lines long, n_removed long")
+    joined = rows.join(runs, "id", "left").select("id", "text", "runs", *["carried"] * bool(carry))
+    return map_batches(joined, cut, "doc_id long, text string, n_lines long, n_removed long" + carried_schema(joined))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clademill.llm import bitmap
-from clademill.llm.common import map_batches, materialise
+from clademill.llm.common import carried_schema, carried_struct, map_batches, materialise
 
 LENGTH, REACH = 400, 250
 #: Bytes of a seed suffix that all strings of the seed share; they make its key.
@@ -232,15 +232,16 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes each byte of a string of LENGTH bytes that begins anywhere else too.
 
-    One row for each row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left). Texts are UTF-8, null ones empty; a cut may part a character. Every row is a document, so
+    One row for each row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left), text (the whole characters among them), and `carried`, a struct of the columns named in carry, if any. Texts are UTF-8, null ones empty; a cut may part a character. Every row is a document, so
     of repeated rows of LENGTH bytes or more nothing is left. A null identifier is an identifier like others. Other columns are not read. Shuffled: a key for each
     seed, the seed suffixes that may repeat, and the texts once. A task holds the distinct contexts of one key at a time."""
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     spans = materialise(repeated_spans(rows), "sd-spans")
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"), *carried_struct(docs, carry))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,10 +251,10 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 runs = merged(found or [])
                 ends = [0, *(b for _, b in runs)]
                 kept = b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in runs), len(raw)], strict=True))
-                out.append((None if doc == NO_ID else doc, len(raw), len(raw) - len(kept), len(runs), kept))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                out.append((None if doc == NO_ID else doc, len(raw), len(raw) - len(kept), len(runs), kept, kept.decode(errors="ignore")))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)] + batch.columns[3:], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text", *["carried"] * bool(carry)])
 
-    joined = rows.join(spans, ["id", "hash"], "left").select("id", "text", "spans")
-    return map_batches(joined, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    joined = rows.join(spans, ["id", "hash"], "left").select("id", "text", "spans", *["carried"] * bool(carry))
+    return map_batches(joined, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text string" + carried_schema(joined))
