@@ -32,6 +32,10 @@ class Spectrum:
         """[branch, from, to] for lengths t."""
         return np.maximum((self.left[None] * np.exp(np.multiply.outer(t, self.values))[:, None, :]) @ self.right, 0.0)
 
+    def move(self, t: float, vectors: np.ndarray) -> np.ndarray:
+        """A transition matrix times vectors, without the matrix: much cheaper for few patterns."""
+        return np.maximum(self.left @ (np.exp(self.values * t)[:, None] * (self.right @ vectors)), 0.0)
+
 
 def diagonal(q: np.ndarray) -> np.ndarray:
     np.fill_diagonal(q, 0.0)
@@ -127,6 +131,25 @@ class Pruner:
             down[k] = value
         return down, log
 
+    def lnl_by(self, move, pi: np.ndarray) -> np.ndarray:
+        """Log-likelihoods with move(node, vectors) in the place of a matrix for each branch."""
+        down: list = [None] * len(self.tree.nodes)
+        log = np.zeros(self.patterns)
+        for k in self.order:
+            n = self.tree.nodes[k]
+            if n.leaf:
+                value = self.leaf[k]
+            else:
+                value = down[n.children[0]]
+                for c in n.children[1:]:
+                    value = value * down[c]
+                top = value.max(axis=0)
+                top = np.where(top > 0, top, 1.0)
+                value = value / top
+                log += np.log(top)
+            down[k] = move(k, value) if k else value
+        return np.log(np.maximum(pi @ down[0], 1e-300)) + log
+
     def log_likelihoods(self, p: np.ndarray, pi: np.ndarray) -> np.ndarray:
         down, log = self.below(p)
         return np.log(np.maximum(pi @ down[0], 1e-300)) + log
