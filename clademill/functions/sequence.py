@@ -10,7 +10,7 @@ from clademill.model.codes import CODONS, code
 
 def reverse_complement(seq: Column) -> Column:
     """The other strand; letters other than A, C, G, T, U become N."""
-    return F.reverse(F.translate(F.regexp_replace(F.upper(seq), "[^ACGTU]", "N"), "ACGTU", "TGCAA"))
+    return F.reverse(F.translate(F.regexp_replace(F.translate(seq, "acgtu", "ACGTU"), "[^ACGTU]", "N"), "ACGTU", "TGCAA"))
 
 
 def triplets(seq: Column, frame: int = 0) -> Column:

@@ -48,22 +48,17 @@ def parse_phylip(text: str) -> list[tuple[str, str]]:
     if not lines or not (m := re.match(r"\s*(\d+)\s+(\d+)", lines[0])):
         raise FormatError("no PHYLIP header")
     taxa, length = int(m[1]), int(m[2])
-    names, seqs = [], []
-    rest = lines[1:]
-    k = 0
-    while k < len(rest) and len(names) < taxa:
-        name, _, seq = rest[k].strip().partition(" ")
-        seq = re.sub(r"\s", "", seq)
-        k += 1
-        names.append(name)
-        seqs.append(seq)
-        # Sequential files go on until the length is reached, unless the next line begins another taxon.
-        while len(rest) - k > taxa - len(names) and len(seqs[-1]) < length and k < len(rest) and not re.match(r"\S+\s+\S", rest[k].strip()):
-            seqs[-1] += re.sub(r"\s", "", rest[k])
-            k += 1
-    for j, line in enumerate(rest[k:]):
-        if taxa:
-            seqs[j % taxa] += re.sub(r"\s", "", line)
+    rest, names, seqs = lines[1:], [], []
+    named = r"\s*(\S+)\s+(\S.*)"
+    together = len(rest) >= taxa and all(re.match(named, x) for x in rest[:taxa])  # all names in the first block: interleaved, or a line each
+    for k, line in enumerate(rest):
+        begins = k < taxa if together else len(names) < taxa and (not seqs or len(seqs[-1]) >= length)
+        if begins:
+            name, _, seq = line.strip().partition(" ")
+            names.append(name)
+            seqs.append(re.sub(r"\s", "", seq))
+        else:
+            seqs[k % taxa if together else -1] += re.sub(r"\s", "", line)
     if len(names) != taxa or any(len(s) != length for s in seqs):
         raise FormatError(f"PHYLIP header says {taxa} x {length}")
     return list(zip(names, seqs, strict=True))
