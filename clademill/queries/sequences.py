@@ -55,7 +55,7 @@ WITH s AS (SELECT doc_id, {DNA} AS dna FROM documents), b AS (SELECT doc_id, dna
 f AS (SELECT doc_id, strand * 3 + o AS frame, substring(dna, o + 1) AS seq FROM b, (SELECT unnest([0, 1, 2]) AS o)),
 c AS (SELECT doc_id, frame, k, substring(seq, k * 3 + 1, 3) AS codon FROM (SELECT doc_id, frame, seq, unnest(range(length(seq) // 3)) AS k FROM f)),
 a AS (SELECT doc_id, frame, string_agg(aa, '' ORDER BY k) AS protein, count(*) FILTER (aa = '*') AS stops, count(*) FILTER (codon = 'ATG') AS starts FROM c JOIN {TABLE} USING (codon) GROUP BY ALL)
-SELECT doc_id, frame, stops, starts, list_max(list_transform(string_split(protein, '*'), lambda x: length(x))) AS longest FROM a""")
+SELECT doc_id, frame::BIGINT AS frame, stops, starts, list_max(list_transform(string_split(protein, '*'), lambda x: length(x))) AS longest FROM a""")
 def six_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR02, STR03, PRJ18: stops, starts and the longest open stretch in all six frames."""
     dna = _dna(spark, sf_dir)

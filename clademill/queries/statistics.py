@@ -188,11 +188,11 @@ def property_z(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, round(-log2(greatest(value / 100, 1e-15)), 6) AS surprise, CASE WHEN event_type = 'error' THEN NULL ELSE round(value, 6) END AS cleaned FROM events""")
+SELECT event_id, round(-log2(greatest(value / 100, 1e-15)), 6) + 0.0 AS surprise, CASE WHEN event_type = 'error' THEN NULL ELSE round(value, 6) END AS cleaned FROM events""")
 def surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MTH14, MTH18: surprise in bits; what isn't finite becomes null."""
     value = F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("value"))
-    return table(spark, sf_dir, "events").select("event_id", F.round(-F.log2(F.greatest(F.col("value") / 100, F.lit(1e-15))), 6).alias("surprise"), F.round(S.clean(value), 6).alias("cleaned"))
+    return table(spark, sf_dir, "events").select("event_id", (F.round(-F.log2(F.greatest(F.col("value") / 100, F.lit(1e-15))), 6) + F.lit(0.0)).alias("surprise"), F.round(S.clean(value), 6).alias("cleaned"))
 
 
 @query("""
