@@ -140,3 +140,27 @@ def demo_gene(spark: SparkSession, sf_dir: str) -> DataFrame:
     strength = gene_tests.relax(data, model, [False, *(k % 2 == 0 for k in range(1, len(model.tree.nodes)))])
     rows = [("busted", gene["lrt"], gene["p_value"], max(gene["omegas"])), ("relax", strength["lrt"], strength["p_value"], strength["k"])]
     return spark.createDataFrame(rows, "method string, lrt double, p_value double, estimate double")
+
+
+@query()
+def demo_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ANA11: conservation of amino-acid properties."""
+    from clademill.analyses.property_scan import property_scan
+
+    data = demo(spark)
+    return property_scan(data, data.fit(quick=True))
+
+
+@query()
+def demo_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ANA02: two groups of branches."""
+    data = demo(spark)
+    model = data.fit(quick=True)
+    n = len(model.tree.nodes)
+    return site_scans.contrast_fel(data, model, {"odd": [k > 0 and k % 2 == 1 for k in range(n)], "even": [k > 0 and k % 2 == 0 for k in range(n)]})
+
+
+@query()
+def demo_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ANA13: one breakpoint or none."""
+    return gene_tests.gard(demo(spark), spacing=4, least=20)
