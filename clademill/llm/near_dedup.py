@@ -1,11 +1,11 @@
 """Near-duplicate detection with HyperMinHash sketches.
 
 A document is the set of its word shingles. For each of REGISTERS hash functions the smallest hash over the set is kept as a
-16-bit register: the number of leading zeros and the ten bits behind the first one. Four registers in a row make the key of a band. Documents with
+16-bit register: the number of leading zeros and the ten bits behind the first one. ROWS registers in a row make the key of a band. Documents with
 equal sets are one class from the start. Classes that share a key are candidates: each is held against
 the smallest class of the key, by the estimate from the registers (corrected for registers that agree by chance) and then by the full sets.
-Where a key's classes have not all come together, the remaining pairs between different components are tested as well, unless their distances from the
-key's smallest class already tell them apart (Jaccard distance is a metric). So no group is expanded into all its pairs, and no
+Where a key's classes have not all come together, those outside the largest component are held against a few more of it, turn by turn; in the
+end all pairs left between different components are held against each other in blocks, by their sketches first. So no group is expanded into all its pairs, and no
 candidate pair is left out.
 """
 
@@ -17,21 +17,25 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clademill.llm import bitmap
 from clademill.llm.common import id_text, map_batches, materialise
 from clademill.llm.components import components
 
-REGISTERS, ROWS = 96, 4
+REGISTERS, ROWS = 192, 6
 BANDS = REGISTERS // ROWS
 MANTISSA = 10
 CACHE_WORDS = 300_000
 #: Bits of the bitmaps of documents whose sets are needed.
 CANDIDATE_BITS = 26
-#: An estimate so far below the threshold settles a pair: more than six times its standard deviation.
-MARGIN = 0.25
+#: An estimate so many of its standard deviations below the threshold settles a pair.
+DEVIATIONS = 5.0
+#: Turns in which classes left over are held against SOME classes of their key's largest component, while the pairs left are more than PLENTY for each row.
+TURNS, SOME, PLENTY = 4, 8, 4
+#: Classes of a key in one block, and pairs held against each other at once.
+BLOCK, PAIRS = 2048, 40_000
 _SEEDS = np.random.default_rng(715517).integers(0, 1 << 63, (2, REGISTERS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,54 +85,63 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def band_keys(registers: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band: its four registers, mixed with the band's number."""
-    keys = np.ascontiguousarray(registers).view("<u8").reshape(len(registers), BANDS)
-    keys = (keys ^ (keys >> np.uint64(31))) * _MIX + np.arange(BANDS, dtype=np.uint64) * _SEEDS[0, 0]
-    return (keys ^ (keys >> np.uint64(29))) * _MIX
+    """A 64-bit key for each band: its registers, mixed with the band's number."""
+    parts = registers.astype(np.uint64).reshape(len(registers), BANDS, ROWS)
+    keys = np.arange(BANDS, dtype=np.uint64) * _SEEDS[0, 0]
+    for j in range(ROWS):
+        keys = (keys ^ (keys >> np.uint64(29))) * _MIX + parts[:, :, j]
+    return (keys ^ (keys >> np.uint64(31))) * _MIX
 
 
-def estimate(one: np.ndarray, two: np.ndarray, n_one: int, n_two: int) -> float:
-    """Jaccard similarity from two sketches, corrected for registers that agree by chance.
+def least_estimate(share: tuple[int, int]) -> float:
+    t = share[0] / share[1]
+    return t - DEVIATIONS * (t * (1 - t) / REGISTERS) ** 0.5
+
+
+def estimate(agree, n_one, n_two):
+    """Jaccard similarity from the share of registers that agree, corrected for registers that agree by chance.
 
     Two different smallest hashes have the same exponent with probability about 1/3 for sets of one size (the sum over exponents of the squared
     shares), less for sets of different size, and then the same mantissa with probability 2**-MANTISSA."""
-    agree = float(np.mean(one == two))
-    ratio = min(n_one, n_two) / max(n_one, n_two)
-    chance = ratio / 3 / (1 << MANTISSA)
-    return max(0.0, (agree - chance) / (1 - chance))
+    chance = np.minimum(n_one, n_two) / np.maximum(n_one, n_two) / 3 / (1 << MANTISSA)
+    return np.maximum(0.0, (agree - chance) / (1 - chance))
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, keys) for each row of (doc_id, text)."""
+    """(doc_id, n_shingles, set_key, registers, keys) for each row of (doc_id, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
             full = [j for j, s in enumerate(sets) if len(s)]
             keys: list = [None] * len(sets)
-            for j, row in zip(full, band_keys(sketches([sets[j] for j in full])).view(np.int64) if full else [], strict=True):
-                keys[j] = row
+            registers: list = [None] * len(sets)
+            made = sketches([sets[j] for j in full])
+            for j, row, part in zip(full, band_keys(made).view(np.int64), made, strict=True):
+                keys[j], registers[j] = row, part.astype("<u2").tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    pa.array(registers, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "set_key", "keys"],
+                ["doc_id", "n_shingles", "set_key", "registers", "keys"],
             )
 
-    return map_batches(docs, run, "doc_id long, n_shingles long, set_key binary, keys array<long>")
+    return map_batches(docs, run, "doc_id long, n_shingles long, set_key binary, registers binary, keys array<long>")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, k: int, name: str) -> DataFrame:
-    """(name, name_set): the full sets of the documents in `ids`; a bitmap of fixed size lets tasks skip most others."""
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int, name: str, *, short: bool = False) -> DataFrame:
+    """(name, name_set): the full sets of the documents in `ids`; a bitmap of fixed size lets tasks skip most others. short: of each hash the first half."""
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap.bitmap(ids, CANDIDATE_BITS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             here = batch.filter(pa.array(bitmap.holds(wanted.value, batch.column(2).to_numpy())))
-            sets = [shingle_set(t, k).tobytes() for t in here.column(1).to_pylist()]
+            sets = [shingle_set(t, k) for t in here.column(1).to_pylist()]
+            sets = [(np.unique(x >> np.uint64(32)).astype("<u4") if short else x).tobytes() for x in sets]
             yield pa.RecordBatch.from_arrays([here.column(0), pa.array(sets, pa.binary())], [name, f"{name}_set"])
 
     rows = docs.where("doc_id is not null").withColumn("slot", bitmap.slot("doc_id", CANDIDATE_BITS))
@@ -136,32 +149,122 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int, name: str) -> DataFrame:
 
 
 def verify(docs: DataFrame, pairs: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
-    """(a, b) -> (a, b, linked, low, high): whether the full sets are alike enough, and bounds of their Jaccard distance.
-
-    The estimate goes first; a pair it settles has wide bounds, the others exact ones. share: (p, q) for p / q of the union."""
+    """Of pairs (a, b), those whose full sets are alike enough; the estimate from the sketches goes first. share: (p, q) for p / q of the union."""
     p, q = share
+    least = least_estimate(share)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, low, high = [], [], []
             ones, twos = ([np.frombuffer(x, np.uint64) for x in batch.column(j).to_pylist()] for j in (2, 3))
-            for one, two, r, s in zip(ones, twos, sketches(ones), sketches(twos), strict=True) if ones else []:
-                near = estimate(r, s, len(one), len(two))
-                if near < p / q - MARGIN:
-                    linked.append(False)
-                    low.append(max(0.0, 1 - near - MARGIN))
-                    high.append(1.0)
-                    continue
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                union = len(one) + len(two) - common
-                linked.append(q * common >= p * union)
-                low.append(1 - common / union)
-                high.append(1 - common / union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(low, pa.float64()), pa.array(high, pa.float64())], ["a", "b", "linked", "low", "high"])
+            linked = np.zeros(len(ones), bool)
+            if ones:
+                n = np.array([[len(x), len(y)] for x, y in zip(ones, twos, strict=True)])
+                near = estimate((sketches(ones) == sketches(twos)).mean(axis=1), n[:, 0], n[:, 1])
+                for j in np.flatnonzero(near >= least).tolist():
+                    common = len(np.intersect1d(ones[j], twos[j], assume_unique=True))
+                    linked[j] = q * common >= p * (len(ones[j]) + len(twos[j]) - common)
+            yield batch.select(["a", "b"]).filter(pa.array(linked))
 
     left, right = _sets_of(docs, pairs.select("a"), k, "a"), _sets_of(docs, pairs.select("b"), k, "b")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set")
-    return map_batches(both, run, "a long, b long, linked boolean, low double, high double")
+    return map_batches(both, run, "a long, b long")
+
+
+def _split(shared: DataFrame, star: DataFrame) -> tuple[DataFrame, int, int]:
+    """Rows of the keys whose classes are in different components, with their components; how many, and how many pairs that would be."""
+    placed = shared.join(star, shared["class"] == star["node"], "left").select("key", "class", F.coalesce("component", "class").alias("comp"))
+    placed = materialise(placed, "nd-placed")
+    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    keys = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct(F.col("n"), -F.col("comp"))).alias("main"))
+    split = materialise(placed.join(keys.where("comps > 1").select("key", "main", "n", "nn"), "key"), "nd-split")
+    total = split.agg(F.count(F.lit(1)), F.sum((F.col("n") - F.col("nn") / F.col("n")) / 2)).first()
+    return split.drop("nn"), int(total[0]), int(total[1] or 0)
+
+
+def _against_some(split: DataFrame, turn: int) -> DataFrame:
+    """Classes outside the largest component of their key, each with up to SOME classes of that component, other ones each turn."""
+    order = F.xxhash64("class", F.lit(turn))
+    some = split.where("comp = main").groupBy("key", F.pmod(order, F.lit(SOME)).alias("slot")).agg(F.min_by("class", order).alias("r")).select("key", "r")
+    both = split.where("comp <> main").join(some, "key")
+    return both.select(F.greatest("class", "r").alias("a"), F.least("class", "r").alias("b")).where("a <> b").distinct()
+
+
+def _pair_lists(groups: Iterable[list[tuple]]) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
+    """Rows of several groups, and the numbers of rows to pair, PAIRS at most at a time. A group of one block is paired within, one of two across."""
+    rows: list[tuple] = []
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+    size = 0
+    for group in groups:
+        blocks = np.array([r[3] for r in group])
+        first, second = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks == blocks.max())
+        within = blocks.min() == blocks.max()
+        if within and group[0][1] != group[0][2]:
+            continue  # the other block of this pair has no row here
+        at = len(rows)
+        rows.extend(group)
+        for k in range(0, len(first), max(1, PAIRS // max(1, len(second)))):
+            x, y = (z.ravel() for z in np.meshgrid(first[k : k + max(1, PAIRS // max(1, len(second)))], second, indexing="ij"))
+            if within:
+                x, y = x[x < y], y[x < y]
+            left.append(x + at)
+            right.append(y + at)
+            size += len(x)
+            if size >= PAIRS:
+                yield rows, np.concatenate(left), np.concatenate(right)
+                left, right, size = [], [], 0
+        if not size:
+            rows = []
+    if size:
+        yield rows, np.concatenate(left), np.concatenate(right)
+
+
+def _across(docs: DataFrame, split: DataFrame, sketch: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
+    """Pairs of classes of one key in different components that their sketches, and then their sets of half hashes, show as alike, each pair from the first band that both share.
+    A half hash can only add to what two sets have in common, so no pair is lost.
+
+    A key of many classes is dealt in blocks, and each pair of blocks is a group of its own: no task holds more than two blocks of a key."""
+    least = least_estimate(share)
+    p, q = share
+    columns = "key long, p int, q int, block int, band int, class long, comp long, n int, registers binary, class_set binary"
+    names = [c.split()[0] for c in columns.split(", ")]
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = split.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("class"), blocks).cast("int")}).drop("n").join(sketch, "class")
+    dealt = dealt.join(_sets_of(docs, split.select("class").distinct(), k, "class", short=True), "class")
+    dealt = dealt.withColumn("band", F.array_position("keys", F.col("key")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")}).select(*names)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups() -> Iterator[list[tuple]]:
+            group: list[tuple] = []
+            for batch in batches:
+                for row in zip(*(batch.column(j).to_pylist() for j in range(len(names))), strict=True):
+                    if group and row[:3] != group[0][:3]:
+                        yield group
+                        group = []
+                    group.append(row)
+            if group:
+                yield group
+
+        for rows, x, y in _pair_lists(groups()):
+            comp, n, ids, band = (np.array([r[j] for r in rows]) for j in (6, 7, 5, 4))
+            registers = np.frombuffer(b"".join(r[8] for r in rows), "<u2").reshape(len(rows), REGISTERS)
+            open_ = (comp[x] != comp[y]) & (q * np.minimum(n[x], n[y]) >= p * np.maximum(n[x], n[y]))
+            x, y = x[open_], y[open_]
+            agree = registers[x] == registers[y]
+            whole = agree.reshape(len(x), BANDS, ROWS).all(axis=2)
+            open_ = (np.argmax(whole, axis=1) + 1 == band[x]) & (estimate(agree.mean(axis=1), n[x], n[y]) >= least)
+            x, y = x[open_], y[open_]
+            used = {j: np.frombuffer(rows[j][9], "<u4") for j in np.unique(np.concatenate((x, y))).tolist()}
+            common = np.fromiter((len(np.intersect1d(used[i], used[j], assume_unique=True)) for i, j in zip(x.tolist(), y.tolist(), strict=True)), np.int64, len(x))
+            size = np.fromiter((len(used[i]) + len(used[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)), np.int64, len(x))
+            open_ = q * (common + 1) >= p * (size - common - 1)  # two hashes of one set may share their first half
+            x, y = x[open_], y[open_]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[x], ids[y]), pa.int64()), pa.array(np.minimum(ids[x], ids[y]), pa.int64())], ["a", "b"])
+
+    parts = int(split.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = dealt.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return map_batches(ordered, run, "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -173,34 +276,32 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rows = id_text(docs, id_col, text_col)
     signed = materialise(signatures(rows, k), "nd-signatures")
     named = signed.where("doc_id is not null and set_key is not null")
-    classes = materialise(named.groupBy("set_key").agg(F.min("doc_id").alias("class"), F.first("keys").alias("keys")), "nd-classes")
+    classes = materialise(
+        named.groupBy("set_key").agg(F.min("doc_id").alias("class"), F.first("n_shingles").cast("int").alias("n"), F.first("registers").alias("registers"), F.first("keys").alias("keys")), "nd-classes"
+    )
+    sketch = classes.select("class", "n", "registers", "keys")
     keyed = classes.select("class", F.explode("keys").alias("key"))
     least = keyed.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("key", "least")
     shared = materialise(keyed.join(least, "key"), "nd-keys")
     first = shared.where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
-    tested = materialise(verify(rows, materialise(first, "nd-first"), k, share), "nd-tested")
-    star = components(tested.where("linked").select("a", "b"))
-
-    placed = (
-        shared.join(star, shared["class"] == star["node"], "left")
-        .select("key", "class", "least", F.coalesce("component", "class").alias("comp"))
-        .join(tested.select(F.col("a").alias("class"), F.col("b").alias("least"), "low", "high"), ["class", "least"], "left")
-        .select("key", "class", "least", "comp", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(0.0)).alias("high"))
-    )
-    apart = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    split = materialise(placed.join(apart, "key"), "nd-split").where("class <> least")
-    x, y = split.alias("x"), split.alias("y")
-    far = 1 - share[0] / share[1] + 1e-9
-    rest = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & (F.col("x.low") - F.col("y.high") <= far) & (F.col("y.low") - F.col("x.high") <= far))
-        .select(F.greatest("x.class", "y.class").alias("a"), F.least("x.class", "y.class").alias("b"))
-        .distinct()
-    )
-    rest = materialise(rest, "nd-rest")
-    links = tested.where("linked").select("a", "b")
-    if not rest.isEmpty():
-        found = materialise(verify(rows, rest, k, share), "nd-rest-tested").where("linked").select("a", "b")
-        star = components(links.unionAll(found)) if not found.isEmpty() else star
+    links = materialise(verify(rows, materialise(first, "nd-first"), k, share), "nd-links")
+    star = components(links)
+    for turn in range(TURNS + 1):
+        split, rows_left, pairs_left = _split(shared, star)
+        if not pairs_left:
+            break
+        last = turn == TURNS or pairs_left <= PLENTY * rows_left
+        found = None
+        if not last:
+            found = materialise(verify(rows, materialise(_against_some(split, turn), "nd-rest"), k, share), "nd-more")
+            last = found.isEmpty()
+        if last:
+            found = materialise(verify(rows, materialise(_across(rows, split, sketch, k, share), "nd-rest"), k, share), "nd-more")
+        if not found.isEmpty():
+            links = links.unionAll(found)
+            star = components(links)
+        if last:
+            break
     final = classes.join(star, classes["class"] == star["node"], "left").select("set_key", F.coalesce("component", "class").alias("component"))
     linked = named.select("doc_id", "n_shingles", "set_key").join(final, "set_key").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = signed.where("doc_id is null or set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
