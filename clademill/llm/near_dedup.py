@@ -4,8 +4,7 @@ A document is the set of its word shingles. For each of REGISTERS hash functions
 16-bit register: the number of leading zeros and the ten bits behind the first one. ROWS registers in a row make the key of a band. Documents with
 equal sets are one class from the start. Classes that share a key are candidates: each is held against
 the smallest class of the key, by the estimate from the registers (corrected for registers that agree by chance) and then by the full sets.
-Where a key's classes have not all come together, those outside the largest component are held against a few more of it, turn by turn; in the
-end all pairs left between different components are held against each other in blocks, by their sketches first. So no group is expanded into all its pairs, and no
+Where a key's classes have not all come together, all pairs between different components are held against each other in blocks, by their sketches first. So no group is expanded into all its pairs, and no
 candidate pair is left out.
 """
 
@@ -32,8 +31,6 @@ CACHE_WORDS = 300_000
 CANDIDATE_BITS = 26
 #: An estimate so many of its standard deviations below the threshold settles a pair.
 DEVIATIONS = 5.0
-#: Turns in which classes left over are held against SOME classes of their key's largest component, while the pairs left are more than PLENTY for each row.
-TURNS, SOME, PLENTY = 4, 8, 4
 #: Classes of a key in one block, and pairs held against each other at once.
 BLOCK, PAIRS = 2048, 40_000
 _SEEDS = np.random.default_rng(715517).integers(0, 1 << 63, (2, REGISTERS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,12 +95,12 @@ def least_estimate(share: tuple[int, int]) -> float:
     return t - DEVIATIONS * (t * (1 - t) / REGISTERS) ** 0.5
 
 
-def estimate(agree, n_one, n_two):
+def estimate(agree, n_one, n_two, bits=MANTISSA):
     """Jaccard similarity from the share of registers that agree, corrected for registers that agree by chance.
 
     Two different smallest hashes have the same exponent with probability about 1/3 for sets of one size (the sum over exponents of the squared
-    shares), less for sets of different size, and then the same mantissa with probability 2**-MANTISSA."""
-    chance = np.minimum(n_one, n_two) / np.maximum(n_one, n_two) / 3 / (1 << MANTISSA)
+    shares), less for sets of different size, and then the same mantissa bits with probability 2**-bits."""
+    chance = np.minimum(n_one, n_two) / np.maximum(n_one, n_two) / 3 / (1 << bits)
     return np.maximum(0.0, (agree - chance) / (1 - chance))
 
 
@@ -118,7 +115,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             registers: list = [None] * len(sets)
             made = sketches([sets[j] for j in full])
             for j, row, part in zip(full, band_keys(made).view(np.int64), made, strict=True):
-                keys[j], registers[j] = row, part.astype("<u2").tobytes()
+                keys[j], registers[j] = row, part.astype(np.uint8).tobytes()  # the low byte of each, all of it mantissa
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -134,14 +131,14 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int, name: str, *, short: bool = False) -> DataFrame:
-    """(name, name_set): the full sets of the documents in `ids`; a bitmap of fixed size lets tasks skip most others. short: of each hash the first half."""
+    """(name, name_set): the full sets of the documents in `ids`; a bitmap of fixed size lets tasks skip most others. short: of each hash the first 16 bits."""
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap.bitmap(ids, CANDIDATE_BITS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             here = batch.filter(pa.array(bitmap.holds(wanted.value, batch.column(2).to_numpy())))
             sets = [shingle_set(t, k) for t in here.column(1).to_pylist()]
-            sets = [(np.unique(x >> np.uint64(32)).astype("<u4") if short else x).tobytes() for x in sets]
+            sets = [(np.unique(x >> np.uint64(48)).astype("<u2") if short else x).tobytes() for x in sets]
             yield pa.RecordBatch.from_arrays([here.column(0), pa.array(sets, pa.binary())], [name, f"{name}_set"])
 
     rows = docs.where("doc_id is not null").withColumn("slot", bitmap.slot("doc_id", CANDIDATE_BITS))
@@ -170,23 +167,11 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, share: tuple[int, int]) ->
     return map_batches(both, run, "a long, b long")
 
 
-def _split(shared: DataFrame, star: DataFrame) -> tuple[DataFrame, int, int]:
-    """Rows of the keys whose classes are in different components, with their components; how many, and how many pairs that would be."""
-    placed = shared.join(star, shared["class"] == star["node"], "left").select("key", "class", F.coalesce("component", "class").alias("comp"))
-    placed = materialise(placed, "nd-placed")
-    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    keys = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct(F.col("n"), -F.col("comp"))).alias("main"))
-    split = materialise(placed.join(keys.where("comps > 1").select("key", "main", "n", "nn"), "key"), "nd-split")
-    total = split.agg(F.count(F.lit(1)), F.sum((F.col("n") - F.col("nn") / F.col("n")) / 2)).first()
-    return split.drop("nn"), int(total[0]), int(total[1] or 0)
-
-
-def _against_some(split: DataFrame, turn: int) -> DataFrame:
-    """Classes outside the largest component of their key, each with up to SOME classes of that component, other ones each turn."""
-    order = F.xxhash64("class", F.lit(turn))
-    some = split.where("comp = main").groupBy("key", F.pmod(order, F.lit(SOME)).alias("slot")).agg(F.min_by("class", order).alias("r")).select("key", "r")
-    both = split.where("comp <> main").join(some, "key")
-    return both.select(F.greatest("class", "r").alias("a"), F.least("class", "r").alias("b")).where("a <> b").distinct()
+def _split(shared: DataFrame, star: DataFrame) -> DataFrame:
+    """Rows of the keys whose classes are in different components, with their components and the size of the key."""
+    placed = materialise(shared.join(star, shared["class"] == star["node"], "left").select("key", "class", F.coalesce("component", "class").alias("comp")), "nd-placed")
+    keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key", "n")
+    return materialise(placed.join(keys, "key"), "nd-split")
 
 
 def _pair_lists(groups: Iterable[list[tuple]]) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
@@ -220,13 +205,13 @@ def _pair_lists(groups: Iterable[list[tuple]]) -> Iterator[tuple[list[tuple], np
 
 
 def _across(docs: DataFrame, split: DataFrame, sketch: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
-    """Pairs of classes of one key in different components that their sketches, and then their sets of half hashes, show as alike, each pair from the first band that both share.
-    A half hash can only add to what two sets have in common, so no pair is lost.
+    """Pairs of classes of one key in different components that their sketches, and then their sets of short hashes, show as alike, each pair from the first band that both share.
+    A short hash can only add to what two sets have in common, so no pair is lost.
 
     A key of many classes is dealt in blocks, and each pair of blocks is a group of its own: no task holds more than two blocks of a key."""
     least = least_estimate(share)
     p, q = share
-    columns = "key long, p int, q int, block int, band int, class long, comp long, n int, registers binary, class_set binary"
+    columns = "key long, p int, q int, block int, band int, class long, comp long, n int, low binary, class_set binary"
     names = [c.split()[0] for c in columns.split(", ")]
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = split.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("class"), blocks).cast("int")}).drop("n").join(sketch, "class")
@@ -248,17 +233,19 @@ def _across(docs: DataFrame, split: DataFrame, sketch: DataFrame, k: int, share:
 
         for rows, x, y in _pair_lists(groups()):
             comp, n, ids, band = (np.array([r[j] for r in rows]) for j in (6, 7, 5, 4))
-            registers = np.frombuffer(b"".join(r[8] for r in rows), "<u2").reshape(len(rows), REGISTERS)
+            registers = np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(len(rows), REGISTERS)
             open_ = (comp[x] != comp[y]) & (q * np.minimum(n[x], n[y]) >= p * np.maximum(n[x], n[y]))
             x, y = x[open_], y[open_]
             agree = registers[x] == registers[y]
             whole = agree.reshape(len(x), BANDS, ROWS).all(axis=2)
-            open_ = (np.argmax(whole, axis=1) + 1 == band[x]) & (estimate(agree.mean(axis=1), n[x], n[y]) >= least)
+            open_ = (np.argmax(whole, axis=1) + 1 == band[x]) & (estimate(agree.mean(axis=1), n[x], n[y], 8) >= least)
             x, y = x[open_], y[open_]
-            used = {j: np.frombuffer(rows[j][9], "<u4") for j in np.unique(np.concatenate((x, y))).tolist()}
+            used = {j: np.frombuffer(rows[j][9], "<u2") for j in np.unique(np.concatenate((x, y))).tolist()}
             common = np.fromiter((len(np.intersect1d(used[i], used[j], assume_unique=True)) for i, j in zip(x.tolist(), y.tolist(), strict=True)), np.int64, len(x))
-            size = np.fromiter((len(used[i]) + len(used[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)), np.int64, len(x))
-            open_ = q * (common + 1) >= p * (size - common - 1)  # two hashes of one set may share their first half
+            twice = np.array([n[j] - len(used[j]) if j in used else 0 for j in range(len(rows))])
+            common += np.minimum(twice[x], twice[y])  # shingles whose short hash another one of the set has as well may be common
+            size = n[x] + n[y]
+            open_ = q * common >= p * (size - common)
             x, y = x[open_], y[open_]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[x], ids[y]), pa.int64()), pa.array(np.minimum(ids[x], ids[y]), pa.int64())], ["a", "b"])
 
@@ -277,31 +264,20 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     signed = materialise(signatures(rows, k), "nd-signatures")
     named = signed.where("doc_id is not null and set_key is not null")
     classes = materialise(
-        named.groupBy("set_key").agg(F.min("doc_id").alias("class"), F.first("n_shingles").cast("int").alias("n"), F.first("registers").alias("registers"), F.first("keys").alias("keys")), "nd-classes"
+        named.groupBy("set_key").agg(F.min("doc_id").alias("class"), F.first("n_shingles").cast("int").alias("n"), F.first("registers").alias("low"), F.first("keys").alias("keys")), "nd-classes"
     )
-    sketch = classes.select("class", "n", "registers", "keys")
+    sketch = classes.select("class", "n", "low", "keys")
     keyed = classes.select("class", F.explode("keys").alias("key"))
     least = keyed.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("key", "least")
     shared = materialise(keyed.join(least, "key"), "nd-keys")
     first = shared.where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
     links = materialise(verify(rows, materialise(first, "nd-first"), k, share), "nd-links")
     star = components(links)
-    for turn in range(TURNS + 1):
-        split, rows_left, pairs_left = _split(shared, star)
-        if not pairs_left:
-            break
-        last = turn == TURNS or pairs_left <= PLENTY * rows_left
-        found = None
-        if not last:
-            found = materialise(verify(rows, materialise(_against_some(split, turn), "nd-rest"), k, share), "nd-more")
-            last = found.isEmpty()
-        if last:
-            found = materialise(verify(rows, materialise(_across(rows, split, sketch, k, share), "nd-rest"), k, share), "nd-more")
+    split = _split(shared, star)
+    if not split.isEmpty():
+        found = materialise(verify(rows, materialise(_across(rows, split, sketch, k, share), "nd-rest"), k, share), "nd-more")
         if not found.isEmpty():
-            links = links.unionAll(found)
-            star = components(links)
-        if last:
-            break
+            star = components(links.unionAll(found))
     final = classes.join(star, classes["class"] == star["node"], "left").select("set_key", F.coalesce("component", "class").alias("component"))
     linked = named.select("doc_id", "n_shingles", "set_key").join(final, "set_key").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = signed.where("doc_id is null or set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
