@@ -9,6 +9,7 @@ epochs the elite of each island moves to the next island of its shard. The best
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -20,19 +21,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clademill.llm.bpe import STANDARD, piece_lists
+from clademill.llm.bpe import LONG_TEXT, STANDARD, piece_lists
 from clademill.llm.common import id_text, map_batches, materialise
 
 ISLANDS, EPOCHS = 2, 2
 POPULATION, CHILDREN = 4, 4
 #: Pieces of a shard on average.
 SHARD = 4096
-CACHE_PIECES = 300_000
+#: Pieces whose ids a worker remembers.
+CACHE_PIECES = 1_000_000
 END_ID = 0
 
 
 class _Ids(dict):
-    """Piece of text -> packed ids, by the tokenizers library; unknown pieces are encoded many at a time."""
+    """Piece of text -> packed ids, by the tokenizers library; the unknown pieces of a whole batch of texts are encoded at once."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -42,12 +44,14 @@ class _Ids(dict):
         self.coder.encode_special_tokens = True
 
     def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self]
+        new = list(pieces - self.keys())
         if len(self) + len(new) > CACHE_PIECES:
             self.clear()
             new = list(pieces)
-        for piece, found in zip(new, self.coder.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[piece] = np.array(found.ids, "<u4").tobytes()
+        for k in range(0, len(new), 10_000):
+            some = new[k : k + 10_000]
+            for piece, found in zip(some, self.coder.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self[piece] = array("I", found.ids).tobytes()
 
 
 @lru_cache(2)
@@ -55,16 +59,13 @@ def ids_of(path: str) -> _Ids:
     return _Ids(path)
 
 
-def token_ids(text: str, path: str) -> bytes:
-    """A text's ids, as the library gives them for the whole text: its byte-level vocabulary never joins pieces of the splitting pattern."""
-    known, out = ids_of(path), []
-    for pieces in piece_lists(text, STANDARD):
-        try:
-            out.append(b"".join(map(known.__getitem__, pieces)))
-        except KeyError:
-            known.learn(set(pieces))
-            out.append(b"".join(map(known.__getitem__, pieces)))
-    return b"".join(out)
+def token_ids(texts: list[str], path: str) -> Iterator[bytes]:
+    """Each text's ids, as the library gives them for the whole text: its byte-level vocabulary never joins pieces of the splitting pattern."""
+    known = ids_of(path)
+    short = [[p for some in piece_lists(t, STANDARD) for p in some] if len(t) > LONG_TEXT else next(piece_lists(t, STANDARD)) for t in texts]
+    known.learn(set().union(*short))
+    for pieces in short:
+        yield b"".join(map(known.__getitem__, pieces))
 
 
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -83,8 +84,8 @@ def pieces(docs: DataFrame, path: str, size: int) -> DataFrame:
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = token_ids(text, path) + END_ID.to_bytes(4, "little")
+            for doc, text_ids in zip(batch.column(0).to_pylist(), token_ids(batch.column(1).to_pylist(), path), strict=True):
+                ids = text_ids + END_ID.to_bytes(4, "little")
                 for k, (start, length) in enumerate(cut(len(ids) // 4, size)):
                     out.append((row, doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
                 row += 1
