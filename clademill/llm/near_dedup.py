@@ -206,18 +206,18 @@ def _pair_lists(groups: Iterable[list[tuple]]) -> Iterator[tuple[list[tuple], np
 
 def _across(docs: DataFrame, split: DataFrame, sketch: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
     """Pairs of classes of one key in different components that their sketches, and then their sets of short hashes, show as alike, each pair from the first band that both share.
-    A short hash can only add to what two sets have in common, so no pair is lost.
+    A short hash can only add to what two sets have in common, so no pair is lost. Which bands two classes share is seen from their keys, as the groups are; the low bytes are for the estimate alone.
 
     A key of many classes is dealt in blocks, and each pair of blocks is a group of its own: no task holds more than two blocks of a key."""
     least = least_estimate(share)
     p, q = share
-    columns = "key long, p int, q int, block int, band int, class long, comp long, n int, low binary, class_set binary"
+    columns = "key long, p int, q int, block int, band int, class long, comp long, n int, low binary, class_set binary, before array<long>"
     names = [c.split()[0] for c in columns.split(", ")]
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = split.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("class"), blocks).cast("int")}).drop("n").join(sketch, "class")
     dealt = dealt.join(_sets_of(docs, split.select("class").distinct(), k, "class", short=True), "class")
     dealt = dealt.withColumn("band", F.array_position("keys", F.col("key")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")}).select(*names)
+    dealt = dealt.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other"), "before": F.slice("keys", F.lit(1), F.col("band") - 1)}).select(*names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[list[tuple]]:
@@ -236,9 +236,12 @@ def _across(docs: DataFrame, split: DataFrame, sketch: DataFrame, k: int, share:
             registers = np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(len(rows), REGISTERS)
             open_ = (comp[x] != comp[y]) & (q * np.minimum(n[x], n[y]) >= p * np.maximum(n[x], n[y]))
             x, y = x[open_], y[open_]
-            agree = registers[x] == registers[y]
-            whole = agree.reshape(len(x), BANDS, ROWS).all(axis=2)
-            open_ = (np.argmax(whole, axis=1) + 1 == band[x]) & (estimate(agree.mean(axis=1), n[x], n[y], 8) >= least)
+            open_ = estimate((registers[x] == registers[y]).mean(axis=1), n[x], n[y], 8) >= least
+            x, y = x[open_], y[open_]
+            before = np.zeros((len(rows), BANDS), np.int64)
+            for j in np.unique(np.concatenate((x, y))).tolist():
+                before[j, : band[j] - 1] = rows[j][10]
+            open_ = ~((before[x] == before[y]) & (np.arange(BANDS) < band[x][:, None] - 1)).any(axis=1)
             x, y = x[open_], y[open_]
             used = {j: np.frombuffer(rows[j][9], "<u2") for j in np.unique(np.concatenate((x, y))).tolist()}
             common = np.fromiter((len(np.intersect1d(used[i], used[j], assume_unique=True)) for i, j in zip(x.tolist(), y.tolist(), strict=True)), np.int64, len(x))

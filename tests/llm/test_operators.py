@@ -350,6 +350,33 @@ def test_near_dedup_finds_pairs_that_the_smallest_class_misses(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 3, (85, 100))
 
 
+def test_near_dedup_blocks_find_every_pair_that_shares_a_key(spark):
+    """Pairs at the threshold, neither of which is the least class of a key, each judged in the blocks of all keys that it shares."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(800):
+        words = [f"w{k}_{j}" for j in range(400)]
+        rows.append((2 * k, " ".join(words)))
+        for j in rng.choice(400, 10, replace=False):
+            words[j] = f"n{k}_{j}"
+        rows.append((2 * k + 1, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = near_dedup.signatures(docs, 3).cache()
+    keys = {r.doc_id: r["keys"] for r in signed.select("doc_id", "keys").collect()}
+    sets = {i: near_dedup.shingle_set(t, 3) for i, t in rows}
+    groups, want = [], set()
+    for a in range(0, len(rows), 2):
+        b, common = a + 1, len(np.intersect1d(sets[a], sets[a + 1]))
+        shared = set(keys[a]) & set(keys[b])
+        if shared and 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common):
+            want.add((b, a))
+        groups += [(key, c, c, 2) for key in shared for c in (a, b)]
+    split = spark.createDataFrame(groups, "key long, class long, comp long, n long")
+    sketch = signed.select(signed.doc_id.alias("class"), signed.n_shingles.cast("int").alias("n"), signed.registers.alias("low"), "keys")
+    got = {(r.a, r.b) for r in near_dedup._across(docs, split, sketch, 3, (85, 100)).collect()}
+    assert len(want) > 300 and want <= got
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(4)
     for share in (0.5, 0.8, 0.95):
