@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from clademill.llm.common import carried_schema, carried_struct, map_batches, materialise
 
-GRAM, WINDOW = 2, 2
+#: A line is a gram and every gram is selected, so a repeated run of one line is found as well.
+GRAM, WINDOW = 1, 1
 #: The number that stands for a null identifier; it sorts first.
 NO_ID = -(1 << 63)
 _SPACE = " \t\n\x0b\x0c\r"

@@ -277,6 +277,23 @@ def test_line_dedup(spark, docs, real):
     assert line_dedup.line_dedup(nasty.empty(spark)).count() == 0
 
 
+def test_line_dedup_removes_every_repeated_line(spark):
+    """All repeated runs, of one line as well: by brute force each line but the first place of its content goes."""
+    rng = np.random.default_rng(5)
+    one = "a paragraph of one line " * 12
+    rows = [(k, "\n".join((f"own {k} a", one, f"own {k} b"))) for k in range(20)] + [(20, one), (21, one), (30, "X\nY"), (31, "X\nY\nZ"), (32, "X\nY\nZ")]
+    rows += [(100 + k, "\n".join(f"line {x}" for x in rng.integers(0, 60, rng.integers(1, 9)))) for k in range(60)]
+    seen, want = set(), {}
+    for i, t in rows:
+        left = []
+        for line in t.split("\n"):
+            if line.strip() not in seen:
+                left.append(line)
+            seen.add(line.strip())
+        want[i] = "\n".join(left)
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()} == want
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(0)
     for _ in range(50):
