@@ -8,6 +8,8 @@ epochs the elite of each island moves to the next island of its shard. The best
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -42,6 +44,9 @@ class _Ids(dict):
 
         self.coder = Tokenizer.from_file(path)
         self.coder.encode_special_tokens = True
+        added = {t["content"]: t["id"] for t in json.loads(self.coder.to_str())["added_tokens"]}
+        self.added = {content: array("I", [number]).tobytes() for content, number in added.items()}
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def learn(self, pieces: set[str]) -> None:
         new = list(pieces - self.keys())
@@ -59,9 +64,16 @@ def ids_of(path: str) -> _Ids:
     return _Ids(path)
 
 
-def token_ids(texts: list[str], path: str) -> Iterator[bytes]:
-    """Each text's ids, as the library gives them for the whole text: its byte-level vocabulary never joins pieces of the splitting pattern."""
+def token_ids(texts: list[str], path: str, added: bool = False) -> Iterator[bytes]:
+    """Each text's ids, as the library gives them for the whole text: its byte-level vocabulary never joins pieces of the splitting pattern.
+    added: the JSON's added tokens that a text spells out have their own ids, as the library's defaults have it; otherwise they are ordinary text."""
     known = ids_of(path)
+    if added and known.parts:
+        split = [known.parts.split(t) for t in texts]  # added tokens are at the odd places
+        plain = token_ids([s for some in split for s in some[::2]], path)
+        for some in split:
+            yield b"".join(known.added[s] if k % 2 else next(plain) for k, s in enumerate(some))
+        return
     short = [[p for some in piece_lists(t, STANDARD) for p in some] if len(t) > LONG_TEXT else next(piece_lists(t, STANDARD)) for t in texts]
     known.learn(set().union(*short))
     for pieces in short:
@@ -77,14 +89,14 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, first), *((k, size) for k in range(first, n, size))]
 
 
-def pieces(docs: DataFrame, path: str, size: int) -> DataFrame:
+def pieces(docs: DataFrame, path: str, size: int, added: bool = False) -> DataFrame:
     """All pieces of all rows; `row` numbers the rows of the written result."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             out = []
-            for doc, text_ids in zip(batch.column(0).to_pylist(), token_ids(batch.column(1).to_pylist(), path), strict=True):
+            for doc, text_ids in zip(batch.column(0).to_pylist(), token_ids(batch.column(1).to_pylist(), path, added), strict=True):
                 ids = text_ids + END_ID.to_bytes(4, "little")
                 for k, (start, length) in enumerate(cut(len(ids) // 4, size)):
                     out.append((row, doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
@@ -234,12 +246,12 @@ STATE = "row long, piece int, length long, shard long, island int, origin int, b
 STATE_NAMES = [f.split()[0] for f in STATE.split(", ")]
 
 
-def pack_documents(docs: DataFrame, path: str, *, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Packs the ids of all whole texts, each followed by id 0, into sequences of at most `size` ids.
+def pack_documents(docs: DataFrame, path: str, *, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
+    """Packs the ids of all whole texts, each followed by id 0, into sequences of at most `size` ids. added: added tokens that a text spells out have their own ids.
 
     One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and empty texts are a piece of one id. Each row of `docs` is packed, repeated ones
     and null identifiers too. Other columns are not read. A piece of full size is a sequence by itself. Empty input gives no rows. Shuffled: numbers of pieces, not ids."""
-    made = materialise(pieces(id_text(docs, id_col, text_col), path, size), "packing-pieces")
+    made = materialise(pieces(id_text(docs, id_col, text_col), path, size, added), "packing-pieces")
     places = pack(made, size)
     short = made.where(F.col("length") < size).join(places, ["row", "piece"])
     full = made.where(F.col("length") == size).withColumn("number", F.monotonically_increasing_id()).withColumns({"sequence_id": -1 - F.col("number"), "offset": F.lit(0).cast("long")})

@@ -32,7 +32,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), added=True)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,6 +182,18 @@ def test_packing(spark, docs):
     assert packing.pack_documents(nasty.empty(spark), JSON).count() == 0
 
 
+def test_packing_query_gives_added_tokens_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(JSON)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|><|endoftext|> y\n", "<|endoftext|", "plain text"]
+    assert lib.encode(texts[1], add_special_tokens=False).ids == [50256]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in queries.op5_packing(spark, str(tmp_path)).collect()}
+    ids = [np.array([*lib.encode(t, add_special_tokens=False).ids, 0], "<u4") for t in texts]
+    assert got == {k: (len(x), zlib.crc32(x.tobytes())) for k, x in enumerate(ids)}
+
+
 def test_crossover_keeps_every_piece():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 100, 300).tolist()
