@@ -51,7 +51,7 @@ def segment_groups(df: DataFrame, key: str, order: str, value: str, least: int =
     return df.select(key, order, value).groupBy(key).applyInPandas(run, f"{key} {kind}, segment int, first long, last long, mean double")
 
 
-def best_segments(df: DataFrame, key: str, order: str, value: str, replicates: int = 200, seed: int = 1) -> DataFrame:
+def best_segments(df: DataFrame, key: str, order: str, value: str, replicates: int = 2000, seed: int = 1) -> DataFrame:
     """(key, first, last, score, p): the best segment of the centred values, and the share of shuffled axes that do as well."""
     kind = df.schema[key].dataType.simpleString()
 

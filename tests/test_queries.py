@@ -4,6 +4,7 @@ from tests.conftest import DATA
 
 import __spark_entry__
 from clademill import catalogue
+from clademill.operators import segments
 
 
 @pytest.fixture(scope="module")
@@ -19,3 +20,8 @@ def test_query_equals_its_sql(spark, con, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_best_segments_of_a_strong_segment_pass_a_corrected_threshold(spark):
+    rows = [("a", k, 5.0 if 40 <= k < 60 else float(k % 2) / 10) for k in range(200)]
+    assert segments.best_segments(spark.createDataFrame(rows, "k string, at long, x double"), "k", "at", "x").first().p == 1 / 2001
