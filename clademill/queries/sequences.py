@@ -100,42 +100,42 @@ def demo_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def demo_fel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ANA01."""
     data = demo(spark)
-    return site_scans.fel(data, data.fit(quick=True))
+    return site_scans.fel(data, data.fit())
 
 
 @query()
 def demo_meme(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ANA03."""
     data = demo(spark)
-    return site_scans.meme(data, data.fit(quick=True))
+    return site_scans.meme(data, data.fit())
 
 
 @query()
 def demo_fubar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ANA04."""
     data = demo(spark)
-    return site_scans.fubar(data, data.fit(quick=True))
+    return site_scans.fubar(data, data.fit())
 
 
 @query()
 def demo_slac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ANA05."""
     data = demo(spark)
-    return site_scans.slac(data, data.fit(quick=True))
+    return site_scans.slac(data, data.fit())
 
 
 @query()
 def demo_absrel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ANA06."""
     data = demo(spark)
-    return gene_tests.absrel(data, data.fit(quick=True))
+    return gene_tests.absrel(data, data.fit())
 
 
 @query()
 def demo_gene(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ANA07, ANA10: BUSTED and RELAX with half of the branches in the foreground."""
     data = demo(spark)
-    model = data.fit(quick=True)
+    model = data.fit()
     gene = gene_tests.busted(data, model)
     strength = gene_tests.relax(data, model, [False, *(k % 2 == 0 for k in range(1, len(model.tree.nodes)))])
     rows = [("busted", gene["lrt"], gene["p_value"], max(gene["omegas"])), ("relax", strength["lrt"], strength["p_value"], strength["k"])]
@@ -148,14 +148,14 @@ def demo_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clademill.analyses.property_scan import property_scan
 
     data = demo(spark)
-    return property_scan(data, data.fit(quick=True))
+    return property_scan(data, data.fit())
 
 
 @query()
 def demo_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ANA02: two groups of branches."""
     data = demo(spark)
-    model = data.fit(quick=True)
+    model = data.fit()
     n = len(model.tree.nodes)
     return site_scans.contrast_fel(data, model, {"odd": [k > 0 and k % 2 == 1 for k in range(n)], "even": [k > 0 and k % 2 == 0 for k in range(n)]})
 
@@ -163,4 +163,4 @@ def demo_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def demo_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ANA13: one breakpoint or none."""
-    return gene_tests.gard(demo(spark), spacing=4, least=20)
+    return gene_tests.gard(demo(spark), spacing=1, least=20)

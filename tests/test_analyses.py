@@ -3,9 +3,11 @@ import json
 import numpy as np
 import pytest
 
+from clademill import catalogue
 from clademill.analyses import gene_tests, site_scans
 from clademill.analyses.dataset import Dataset
 from clademill.analyses.simulate import DEMO_TREE, simulate
+from clademill.queries import sequences
 from clademill.sinks import writers
 
 
@@ -44,6 +46,23 @@ def test_gene_tests(fitted):
     assert len(branches) == 11 and all(0 <= r.p_uncorrected <= r.p_value + 1e-9 <= 1 + 1e-9 for r in branches)
 
 
+def test_registered_analyses_use_full_fits_and_every_breakpoint(spark, monkeypatch):
+    class Fitted(Exception):
+        pass
+
+    def fit(self, *args, **kwargs):
+        raise Fitted(kwargs)
+
+    monkeypatch.setattr(Dataset, "fit", fit)
+    for name in ("fel", "meme", "fubar", "slac", "absrel", "gene", "properties", "contrast"):
+        with pytest.raises(Fitted) as found:
+            catalogue.QUERIES[f"demo_{name}"](spark, "")
+        assert not found.value.args[0].get("quick")
+    seqs = sequences.demo(spark).seqs
+    variable = [k for k in range(len(seqs[0])) if len({s[k] for s in seqs} & set("ACGT")) > 1]
+    assert {r.breakpoint for r in catalogue.QUERIES["demo_breakpoints"](spark, "").collect()} == {-1, *variable[20:-20]}
+
+
 def test_grid_and_weights():
     grid = site_scans.fubar_grid()
     assert len(grid) == 400 and grid[0] == (0, 0) and grid[273] == (1.0, 1.0) and np.allclose(grid[399], (50, 50))
