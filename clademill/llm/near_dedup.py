@@ -27,8 +27,6 @@ REGISTERS, ROWS = 192, 6
 BANDS = REGISTERS // ROWS
 MANTISSA = 10
 CACHE_WORDS = 300_000
-#: Bits of the bitmaps of documents whose sets are needed.
-CANDIDATE_BITS = 26
 #: An estimate so many of its standard deviations below the threshold settles a pair.
 DEVIATIONS = 5.0
 #: Classes of a key in one block, and pairs held against each other at once.
@@ -115,7 +113,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             registers: list = [None] * len(sets)
             made = sketches([sets[j] for j in full])
             for j, row, part in zip(full, band_keys(made).view(np.int64), made, strict=True):
-                keys[j], registers[j] = row, part.astype(np.uint8).tobytes()  # the low byte of each, all of it mantissa
+                keys[j], registers[j] = row, part.astype("<u2").tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -131,38 +129,54 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int, name: str, *, short: bool = False) -> DataFrame:
-    """(name, name_set): the full sets of the documents in `ids`; a bitmap of fixed size lets tasks skip most others. short: of each hash the first 16 bits."""
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap.bitmap(ids, CANDIDATE_BITS))
+    """(name, name_set): the full sets of the documents in `ids`; a bitmap lets tasks skip most others. short: of each hash the first 16 bits."""
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap.bitmap(ids))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            here = batch.filter(pa.array(bitmap.holds(wanted.value, batch.column(2).to_numpy())))
+            here = batch.filter(pa.array(wanted.value.holds(batch.column(2).to_numpy())))
             sets = [shingle_set(t, k) for t in here.column(1).to_pylist()]
             sets = [(np.unique(x >> np.uint64(48)).astype("<u2") if short else x).tobytes() for x in sets]
             yield pa.RecordBatch.from_arrays([here.column(0), pa.array(sets, pa.binary())], [name, f"{name}_set"])
 
-    rows = docs.where("doc_id is not null").withColumn("slot", bitmap.slot("doc_id", CANDIDATE_BITS))
+    rows = docs.where("doc_id is not null").withColumn("slot", bitmap.hash_of("doc_id"))
     return map_batches(rows, run, f"{name} long, {name}_set binary")
 
 
+def _matrix(registers: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(registers), "<u2").reshape(len(registers), REGISTERS)
+
+
+def estimated(pairs: DataFrame, sketch: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Of pairs (a, b) of classes, those that their stored registers and sizes don't rule out."""
+    least, (p, q) = least_estimate(share), share
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(j).to_numpy() for j in (2, 3))
+            agree = (_matrix(batch.column(4).to_pylist()) == _matrix(batch.column(5).to_pylist())).mean(axis=1)
+            open_ = (q * np.minimum(n, m) >= p * np.maximum(n, m)) & (estimate(agree, n, m) >= least)
+            yield batch.select(["a", "b"]).filter(pa.array(open_))
+
+    one, two = (sketch.select(F.col("class").alias(x), F.col("n").cast("long").alias(f"{x}_n"), F.col("registers").alias(f"{x}_registers")) for x in ("a", "b"))
+    return map_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "a_n", "b_n", "a_registers", "b_registers"), run, "a long, b long")
+
+
 def verify(docs: DataFrame, pairs: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
-    """Of pairs (a, b), those whose full sets are alike enough; the estimate from the sketches goes first. share: (p, q) for p / q of the union."""
+    """Of written pairs (a, b), those whose full sets are alike enough. share: (p, q) for p / q of the union."""
     p, q = share
-    least = least_estimate(share)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ones, twos = ([np.frombuffer(x, np.uint64) for x in batch.column(j).to_pylist()] for j in (2, 3))
-            linked = np.zeros(len(ones), bool)
-            if ones:
-                n = np.array([[len(x), len(y)] for x, y in zip(ones, twos, strict=True)])
-                near = estimate((sketches(ones) == sketches(twos)).mean(axis=1), n[:, 0], n[:, 1])
-                for j in np.flatnonzero(near >= least).tolist():
-                    common = len(np.intersect1d(ones[j], twos[j], assume_unique=True))
-                    linked[j] = q * common >= p * (len(ones[j]) + len(twos[j]) - common)
+            linked = np.zeros(batch.num_rows, bool)
+            for j, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                linked[j] = q * common >= p * (len(one) + len(two) - common)
             yield batch.select(["a", "b"]).filter(pa.array(linked))
 
-    left, right = _sets_of(docs, pairs.select("a"), k, "a"), _sets_of(docs, pairs.select("b"), k, "b")
+    sets = _sets_of(docs, materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nd-wanted"), k, "id")
+    left, right = (sets.select(F.col("id").alias(x), F.col("id_set").alias(f"{x}_set")) for x in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set")
     return map_batches(both, run, "a long, b long")
 
@@ -206,16 +220,16 @@ def _pair_lists(groups: Iterable[list[tuple]]) -> Iterator[tuple[list[tuple], np
 
 def _across(docs: DataFrame, split: DataFrame, sketch: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
     """Pairs of classes of one key in different components that their sketches, and then their sets of short hashes, show as alike, each pair from the first band that both share.
-    A short hash can only add to what two sets have in common, so no pair is lost. Which bands two classes share is seen from their keys, as the groups are; the low bytes are for the estimate alone.
+    A short hash can only add to what two sets have in common, so no pair is lost. Which bands two classes share is seen from their keys, as the groups are.
 
     A key of many classes is dealt in blocks, and each pair of blocks is a group of its own: no task holds more than two blocks of a key."""
     least = least_estimate(share)
     p, q = share
-    columns = "key long, p int, q int, block int, band int, class long, comp long, n int, low binary, class_set binary, before array<long>"
+    columns = "key long, p int, q int, block int, band int, class long, comp long, n int, registers binary, class_set binary, before array<long>"
     names = [c.split()[0] for c in columns.split(", ")]
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = split.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("class"), blocks).cast("int")}).drop("n").join(sketch, "class")
-    dealt = dealt.join(_sets_of(docs, split.select("class").distinct(), k, "class", short=True), "class")
+    dealt = dealt.join(_sets_of(docs, materialise(split.select("class").distinct(), "nd-open"), k, "class", short=True), "class")
     dealt = dealt.withColumn("band", F.array_position("keys", F.col("key")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other"), "before": F.slice("keys", F.lit(1), F.col("band") - 1)}).select(*names)
 
@@ -233,10 +247,10 @@ def _across(docs: DataFrame, split: DataFrame, sketch: DataFrame, k: int, share:
 
         for rows, x, y in _pair_lists(groups()):
             comp, n, ids, band = (np.array([r[j] for r in rows]) for j in (6, 7, 5, 4))
-            registers = np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(len(rows), REGISTERS)
+            registers = _matrix([r[8] for r in rows])
             open_ = (comp[x] != comp[y]) & (q * np.minimum(n[x], n[y]) >= p * np.maximum(n[x], n[y]))
             x, y = x[open_], y[open_]
-            open_ = estimate((registers[x] == registers[y]).mean(axis=1), n[x], n[y], 8) >= least
+            open_ = estimate((registers[x] == registers[y]).mean(axis=1), n[x], n[y]) >= least
             x, y = x[open_], y[open_]
             before = np.zeros((len(rows), BANDS), np.int64)
             for j in np.unique(np.concatenate((x, y))).tolist():
@@ -267,14 +281,14 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     signed = materialise(signatures(rows, k), "nd-signatures")
     named = signed.where("doc_id is not null and set_key is not null")
     classes = materialise(
-        named.groupBy("set_key").agg(F.min("doc_id").alias("class"), F.first("n_shingles").cast("int").alias("n"), F.first("registers").alias("low"), F.first("keys").alias("keys")), "nd-classes"
+        named.groupBy("set_key").agg(F.min("doc_id").alias("class"), F.first("n_shingles").cast("int").alias("n"), F.first("registers").alias("registers"), F.first("keys").alias("keys")), "nd-classes"
     )
-    sketch = classes.select("class", "n", "low", "keys")
+    sketch = classes.select("class", "n", "registers", "keys")
     keyed = classes.select("class", F.explode("keys").alias("key"))
     least = keyed.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("key", "least")
     shared = materialise(keyed.join(least, "key"), "nd-keys")
     first = shared.where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
-    links = materialise(verify(rows, materialise(first, "nd-first"), k, share), "nd-links")
+    links = materialise(verify(rows, materialise(estimated(first, sketch, share), "nd-first"), k, share), "nd-links")
     star = components(links)
     split = _split(shared, star)
     if not split.isEmpty():

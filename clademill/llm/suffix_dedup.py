@@ -5,7 +5,7 @@ the others follows from theirs. The seeds are chosen so that each string of LENG
 smallest hash of eight bytes among its first REACH places. Two equal strings therefore have their seeds at the same offset, and
 only suffixes whose seeds begin alike need to be compared.
 
-1. Seeds whose first bytes occur once in the corpus are dropped, with the help of a bitmap of fixed size.
+1. Seeds whose first bytes occur once in the corpus are dropped, with the help of a bitmap.
 2. The other seed suffixes are sorted externally by Spark: each task keeps sorted runs on disk and merges them through a priority queue, so a shard
    may be far larger than memory. Equal contexts of one batch travel as one.
 3. Neighbours in that order give the common prefix values. From there suffixes are induced to the left, a byte at a time: the tuple of a
@@ -29,7 +29,6 @@ from clademill.llm.common import carried_schema, carried_struct, map_batches, ma
 LENGTH, REACH = 400, 250
 #: Bytes of a seed suffix that all strings of the seed share; they make its key.
 SHARED = LENGTH - REACH
-KEY_BITS = 27
 #: Rows that are induced together.
 CHUNK = 20_000
 NO_ID = -(1 << 63)
@@ -90,7 +89,7 @@ def _contexts(rows: DataFrame, wanted) -> DataFrame:
         for batch in batches:
             joined, doc, begin, seed, low, high = seeds([t.encode() for t in batch.column(2).to_pylist()])
             keys = _keys(joined, seed)
-            here = np.flatnonzero(bitmap.holds(wanted.value, keys & ((1 << KEY_BITS) - 1)))
+            here = np.flatnonzero(wanted.value.holds(keys))
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             owners: dict[tuple, list[int]] = {}
             for k in here.tolist():
@@ -215,7 +214,7 @@ def _induced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(rows: DataFrame, *, partitions: int | None = None) -> DataFrame:
     """(id, hash, spans) from (id, hash, text): byte spans covered by repeated strings, as they were found (they may overlap)."""
     spark = rows.sparkSession
-    wanted = spark.sparkContext.broadcast(bitmap.bitmap(_repeated_keys(rows), KEY_BITS, hashed=True))
+    wanted = spark.sparkContext.broadcast(bitmap.bitmap(materialise(_repeated_keys(rows), "sd-keys"), hashed=True))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = _contexts(rows, wanted).repartition(n, "key").sortWithinPartitions("key", "right", "left")
     found = map_batches(ordered, _induced, SPANS)
