@@ -4,14 +4,15 @@ A solution is a partition of pieces into bins. Crossover puts whole bins of one
 there that share a piece with them, and packs the pieces that lost their bin by best fit. Pieces are dealt by a hash over
 shards of bounded size; each shard is solved by several islands, each a task with a population of its own, and between
 epochs the elite of each island moves to the next island of its shard. The best solution of a shard's islands counts.
+
+What is sought is few bins, and the room that is left in as few of them as can be: the other bins are full for good, while the pieces of the bins with much room go on to
+the next level, where they meet those of the other shards, until one shard has them all. So not each shard, but the whole corpus has a last bin that isn't full.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -23,61 +24,72 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clademill.llm.bpe import LONG_TEXT, STANDARD, piece_lists
+from clademill.llm.bpe import STANDARD
 from clademill.llm.common import id_text, map_batches, materialise
 
 ISLANDS, EPOCHS = 2, 2
 POPULATION, CHILDREN = 4, 4
 #: Pieces of a shard on average.
 SHARD = 4096
-#: Pieces whose ids a worker remembers.
-CACHE_PIECES = 1_000_000
+#: A bin goes on to the next level if more than this share of it is free.
+LOOSE = 1 / 256
 END_ID = 0
 
 
-class _Ids(dict):
-    """Piece of text -> packed ids, by the tokenizers library; the unknown pieces of a whole batch of texts are encoded at once."""
+def byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable Latin-1 ones for themselves, the others from U+0100 on in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+class Ids:
+    """Texts -> packed ids of a tokenizers JSON file.
+
+    A byte-level file whose merges are numbered in the order of its ids has the ids of its ranks, and those come from a coder for ranks, at a fifth of the time;
+    any other file is left to the tokenizers library."""
 
     def __init__(self, path: str) -> None:
-        super().__init__()
-        from tokenizers import Tokenizer
-
-        self.coder = Tokenizer.from_file(path)
-        self.coder.encode_special_tokens = True
-        added = {t["content"]: t["id"] for t in json.loads(self.coder.to_str())["added_tokens"]}
-        self.added = {content: array("I", [number]).tobytes() for content, number in added.items()}
-        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-
-    def learn(self, pieces: set[str]) -> None:
-        new = list(pieces - self.keys())
-        if len(self) + len(new) > CACHE_PIECES:
-            self.clear()
-            new = list(pieces)
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            for piece, found in zip(some, self.coder.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self[piece] = array("I", found.ids).tobytes()
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        self.path, self.added, self.ranks, self.library = path, told["added_tokens"] or [], None, {}
+        model, before, letters = told["model"], told["pre_tokenizer"] or {}, byte_letters()
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")) and told["normalizer"] is None
+        plain &= before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        plain &= not any(t[k] for t in self.added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        if plain:
+            vocab = model["vocab"]
+            made = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", ""), -1) for m in model["merges"]]
+            ranks = {bytes(map(letters.__getitem__, w)): n for w, n in vocab.items() if set(w) <= letters.keys() and w not in {t["content"] for t in self.added}}
+            if made == sorted(made) and len({*made}) == len(made) == len(ranks) - 256 and min(made, default=256) > max(vocab.get(c, 1 << 40) for c in letters):
+                import tiktoken
+
+                self.ranks = tiktoken.Encoding(path, pat_str=STANDARD, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in self.added})
+
+    def encode(self, texts: list[str], added: bool) -> Iterator[bytes]:
+        if self.ranks:
+            special = {"allowed_special": "all"} if added else {"disallowed_special": ()}
+            for text in texts:
+                yield self.ranks.encode_to_numpy(text, **special).astype("<u4", copy=False).tobytes()
+            return
+        if added not in self.library:
+            from tokenizers import Tokenizer
+
+            self.library[added] = Tokenizer.from_file(self.path)
+            self.library[added].encode_special_tokens = not added
+        for found in self.library[added].encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(found.ids, "<u4").tobytes()
 
 
 @lru_cache(2)
-def ids_of(path: str) -> _Ids:
-    return _Ids(path)
+def ids_of(path: str) -> Ids:
+    return Ids(path)
 
 
 def token_ids(texts: list[str], path: str, added: bool = False) -> Iterator[bytes]:
-    """Each text's ids, as the library gives them for the whole text: its byte-level vocabulary never joins pieces of the splitting pattern.
+    """Each text's ids, as the tokenizers library gives them without special tokens.
     added: the JSON's added tokens that a text spells out have their own ids, as the library's defaults have it; otherwise they are ordinary text."""
-    known = ids_of(path)
-    if added and known.parts:
-        split = [known.parts.split(t) for t in texts]  # added tokens are at the odd places
-        plain = token_ids([s for some in split for s in some[::2]], path)
-        for some in split:
-            yield b"".join(known.added[s] if k % 2 else next(plain) for k, s in enumerate(some))
-        return
-    short = [[p for some in piece_lists(t, STANDARD) for p in some] if len(t) > LONG_TEXT else next(piece_lists(t, STANDARD)) for t in texts]
-    known.learn(set().union(*short))
-    for pieces in short:
-        yield b"".join(map(known.__getitem__, pieces))
+    return ids_of(path).encode(texts, added)
 
 
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -127,15 +139,15 @@ def best_fit(items: Iterable[int], lengths: list[int], bins: list[list[int]], ro
 
 
 def fitness(room: list[int], size: int) -> float:
-    """Mean square of how full the bins are; fewer and fuller bins are better."""
-    return sum((1 - r / size) ** 2 for r in room) / len(room) if room else 1.0
+    """Mean square of the room; of as many bins, those with all their room in one are best."""
+    return sum((r / size) ** 2 for r in room) / len(room) if room else 0.0
 
 
 class Solution:
     __slots__ = ("bins", "room", "value")
 
     def __init__(self, bins: list[list[int]], room: list[int], size: int) -> None:
-        self.bins, self.room, self.value = bins, room, (-len(bins), fitness(room, size))
+        self.bins, self.room, self.value = bins, room, (-len(bins), fitness(room, size))  # values are maximised
 
 
 def start(rng: np.random.Generator, lengths: list[int], size: int, noise: float) -> Solution:
@@ -149,12 +161,13 @@ def start(rng: np.random.Generator, lengths: list[int], size: int, noise: float)
 
 def crossover(rng: np.random.Generator, giver: Solution, taker: Solution, lengths: list[int], size: int) -> Solution:
     """Injects a share of the giver's best filled bins into the taker, drops the taker's bins that share pieces with them, and best-fits the pieces set free."""
-    full = sorted(range(len(giver.bins)), key=giver.room.__getitem__)
+    blur = rng.random(len(giver.bins)) * (0.02 * size)  # bins about as full come in any order
+    full = np.argsort(np.array(giver.room) + blur, kind="stable").tolist()
     some = full[: max(1, int(len(full) * rng.uniform(0.2, 0.6)))]
     taken = {i for k in some for i in giver.bins[k]}
     bins, room = [list(giver.bins[k]) for k in some], [giver.room[k] for k in some]
     loose = []
-    worst = set(sorted(range(len(taker.bins)), key=lambda k: -taker.room[k])[: max(1, len(taker.bins) // 50)])
+    worst = set(sorted(range(len(taker.bins)), key=lambda k: -taker.room[k])[: max(1, len(taker.bins) // 20)])
     for k, items in enumerate(taker.bins):
         if k in worst or not taken.isdisjoint(items):
             loose.extend(i for i in items if i not in taken)
@@ -166,16 +179,20 @@ def crossover(rng: np.random.Generator, giver: Solution, taker: Solution, length
     return Solution(bins, room, size)
 
 
+def settled(best: Solution, lengths: list[int], size: int) -> bool:
+    """Whether no solution is better: as few bins as can be, and one of them at most with room."""
+    return len(best.bins) <= -(-sum(lengths) // size) and sum(r > 0 for r in best.room) <= 1
+
+
 def evolve(population: list[Solution], lengths: list[int], size: int, rng: np.random.Generator, children: int = CHILDREN) -> list[Solution]:
-    """Children replace the worst. Nothing is bred once the count of bins is the smallest possible."""
-    least = -(-sum(lengths) // size)
+    """Children replace the worst, until no solution can be better."""
     for _ in range(children):
         population.sort(key=lambda s: s.value, reverse=True)
-        if len(population[0].bins) <= least or len(population) < 2:
+        if len(population) < 2 or settled(population[0], lengths, size):
             break
         one, two = rng.choice(len(population), 2, replace=False)
         child = crossover(rng, population[one], population[two], lengths, size)
-        if child.value > population[-1].value:
+        if child.value > population[-1].value and all(child.value != s.value for s in population):  # twins would end all change
             population[-1] = child
     return sorted(population, key=lambda s: s.value, reverse=True)
 
@@ -197,27 +214,49 @@ def _bins(solution: Solution, n: int) -> np.ndarray:
 
 def pack(made: DataFrame, size: int) -> DataFrame:
     """(row, piece, sequence_id, offset) for pieces shorter than `size`."""
-    small = made.where(F.col("length") < size).select("row", "piece", "length")
-    n = small.count()
-    shards = max(1, round(n / SHARD))
+    loose = made.where(F.col("length") < size).select("row", "piece", "length")
+    out, level, before = None, 0, None
+    while True:
+        n = loose.count()
+        shards = max(1, round(n / SHARD))
+        last = shards == 1 or n == before
+        placed = materialise(_solve(loose, size, shards, level), "packing-places")
+        kept = placed if last else placed.where(F.col("room") <= int(LOOSE * size))
+        kept = kept.select("row", "piece", "sequence_id", "offset")
+        out = kept if out is None else out.unionByName(kept)
+        if last:
+            return out
+        loose, level, before = placed.where(F.col("room") > int(LOOSE * size)).select("row", "piece", "length"), level + 1, n
+
+
+def _solve(small: DataFrame, size: int, shards: int, level: int) -> DataFrame:
+    """One level: (row, piece, length, sequence_id, offset, room of the bin)."""
 
     def island(epoch: int):
         def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             shard, number = (int(x) for x in key)
-            rng = np.random.default_rng([shard, number, epoch])
+            rng = np.random.default_rng([level, shard, number, epoch])
             elites = {k: g.sort_values(["row", "piece"], kind="stable") for k, g in rows.groupby("origin")}
             items = next(iter(elites.values()))
             lengths = items["length"].tolist()
             population = [_of(g["bin"].to_numpy(), lengths, size) for g in elites.values()] if epoch else [start(rng, lengths, size, 0.0)]
-            population += [start(rng, lengths, size, 0.05 * (k + number + 1)) for k in range(POPULATION - len(population))]
+            if not settled(population[0], lengths, size):
+                population += [start(rng, lengths, size, 0.05 * (k + number + 1)) for k in range(POPULATION - len(population))]
             best = evolve(population, lengths, size, rng)[0]
-            return items.assign(origin=number, bin=_bins(best, len(items)), bins=len(best.bins), spread=float(best.value[1]))[STATE_NAMES]
+            return items.assign(origin=number, bin=_bins(best, len(items)), bins=len(best.bins), spread=-float(best.value[1]))[STATE_NAMES]
 
         return run
 
+    def settle(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """The best island's bins."""
+        ranked = rows[["bins", "spread", "origin"]].drop_duplicates().sort_values(["bins", "spread", "origin"])
+        rows = rows[rows["origin"] == ranked["origin"].iloc[0]].sort_values(["bin", "row", "piece"], kind="stable")
+        bins = rows.groupby("bin")["length"]
+        return pd.DataFrame({"row": rows["row"], "piece": rows["piece"], "length": rows["length"], "sequence_id": (level << 58) + (int(key[0]) << 24) + rows["bin"], "offset": bins.cumsum() - rows["length"], "room": size - bins.transform("sum")})
+
     state = small.withColumns(
         {
-            "shard": F.pmod(F.xxhash64("row", "piece"), F.lit(shards)),
+            "shard": F.pmod(F.xxhash64("row", "piece", F.lit(level)), F.lit(shards)),
             "island": F.explode(F.array(*(F.lit(k) for k in range(ISLANDS)))),
             "origin": F.lit(0),
             "bin": F.lit(0).cast("long"),
@@ -229,17 +268,7 @@ def pack(made: DataFrame, size: int) -> DataFrame:
         if epoch:  # each elite stays, and goes to the next island as well
             state = state.withColumn("island", F.explode(F.array(F.col("origin"), F.pmod(F.col("origin") + 1, F.lit(ISLANDS)))))
         state = state.groupBy("shard", "island").applyInPandas(island(epoch), STATE)
-    state = materialise(state, "packing-islands")
-    best = state.select("shard", "origin", "bins", "spread").distinct().groupBy("shard").agg(F.min_by("origin", F.struct("bins", -F.col("spread"), "origin")).alias("origin"))
-    chosen = state.join(best, ["shard", "origin"])
-
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["bin", "row", "piece"], kind="stable")
-        rows["offset"] = rows.groupby("bin")["length"].cumsum() - rows["length"]
-        rows["sequence_id"] = rows["shard"] * (1 << 32) + rows["bin"]
-        return rows[["row", "piece", "sequence_id", "offset"]]
-
-    return chosen.select("shard", "row", "piece", "length", "bin").groupBy("shard").applyInPandas(place, "row long, piece int, sequence_id long, offset long")
+    return state.groupBy("shard").applyInPandas(settle, "row long, piece int, length long, sequence_id long, offset long, room long")
 
 
 STATE = "row long, piece int, length long, shard long, island int, origin int, bin long, bins int, spread double"
