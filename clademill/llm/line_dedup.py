@@ -51,14 +51,14 @@ def fingerprints(hashes: np.ndarray, gram: int = GRAM, window: int = WINDOW) ->
 def _prints(docs: DataFrame, gram: int, window: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [line_hashes(t)[0] for t in batch.column(1).to_pylist()]
+            hashes = [line_hashes(t)[0] for t in batch.column(2).to_pylist()]
             found = [fingerprints(h, gram, window) for h in hashes]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([h.astype("<u8").tobytes() for h in hashes], pa.binary()), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([v.view(np.int64) for _, v in found], pa.list_(pa.int64()))],
-                ["id", "lines", "at", "prints"],
+                [batch.column(0), batch.column(1), pa.array([h.astype("<u8").tobytes() for h in hashes], pa.binary()), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([v.view(np.int64) for _, v in found], pa.list_(pa.int64()))],
+                ["id", "hash", "lines", "at", "prints"],
             )
 
-    return map_batches(docs, run, "id long, lines binary, at array<int>, prints array<long>")
+    return map_batches(docs, run, "id long, hash long, lines binary, at array<int>, prints array<long>")
 
 
 def extend(lines: np.ndarray, at: int, first_lines: np.ndarray, first: int, gram: int) -> tuple[int, int] | None:
@@ -74,18 +74,19 @@ def extend(lines: np.ndarray, at: int, first_lines: np.ndarray, first: int, gram
 
 
 def repeated_runs(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """(id, runs): for each document of (id, text) with repeated runs, their spans in numbers of lines that aren't blank."""
+    """(id, hash, runs): for each document of (id, hash, text) with repeated runs, their spans in numbers of lines that aren't blank. A document is an identifier and the hash of a text."""
     prints = materialise(_prints(docs, gram, window), "ld-prints")
-    places = prints.select("id", F.explode(F.arrays_zip("at", "prints")).alias("x")).select("id", F.col("x.at").alias("at"), F.col("x.prints").alias("print"))
-    originals = places.groupBy("print").agg(F.min(F.struct("id", "at")).alias("o"), F.max(F.struct("id", "at")).alias("z")).where("o <> z").select("print", F.col("o.id").alias("o_id"), F.col("o.at").alias("o_at"))
-    later = places.join(originals, "print").where("id <> o_id or at <> o_at").groupBy("id", "o_id").agg(F.collect_set(F.struct("at", "o_at")).alias("pairs"))
-    lines = prints.groupBy("id").agg(F.min("lines").alias("lines"))
-    both = later.join(lines, "id").join(lines.select(F.col("id").alias("o_id"), F.col("lines").alias("o_lines")), "o_id").select("id", "lines", "o_lines", "pairs")
+    places = prints.select("id", "hash", F.explode(F.arrays_zip("at", "prints")).alias("x")).select("id", "hash", F.col("x.at").alias("at"), F.col("x.prints").alias("print"))
+    place = F.struct("id", "hash", "at")
+    originals = places.groupBy("print").agg(F.min(place).alias("o"), F.max(place).alias("z")).where("o <> z").select("print", F.col("o.id").alias("o_id"), F.col("o.hash").alias("o_hash"), F.col("o.at").alias("o_at"))
+    later = places.join(originals, "print").where("id <> o_id or hash <> o_hash or at <> o_at").groupBy("id", "hash", "o_id", "o_hash").agg(F.collect_set(F.struct("at", "o_at")).alias("pairs"))
+    lines = prints.groupBy("id", "hash").agg(F.first("lines").alias("lines"))
+    both = later.join(lines, ["id", "hash"]).join(lines.select(F.col("id").alias("o_id"), F.col("hash").alias("o_hash"), F.col("lines").alias("o_lines")), ["o_id", "o_hash"]).select("id", "hash", "lines", "o_lines", "pairs")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for lines, first_lines, pairs in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for lines, first_lines, pairs in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
                 one, two = np.frombuffer(lines, "<u8"), np.frombuffer(first_lines, "<u8")
                 spans: list[tuple[int, int]] = []
                 done: dict[int, int] = {}  # by diagonal, up to where it is extended
@@ -96,20 +97,20 @@ def repeated_runs(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW) ->
                         spans.append(span)
                         done[at - first] = span[1]
                 out.append([{"a": a, "b": b} for a, b in spans])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["id", "runs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["id", "hash", "runs"])
 
-    found = map_batches(both, run, "id long, runs array<struct<a:int,b:int>>")
-    return found.groupBy("id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    found = map_batches(both, run, "id long, hash long, runs array<struct<a:int,b:int>>")
+    return found.groupBy("id", "hash").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """Deletes later repeated runs of lines.
 
     One row for each row of `docs`: doc_id, text (what is left; null stays null), n_lines (not blank), n_removed, and `carried`, a struct of the columns named in carry, if any. Deleted lines go with their line feeds; blank lines stay. Rows of the same
-    identifier and text are one place and keep or lose the same lines; of rows that share an identifier with different texts, one (the smallest by its hashes) is matched and its runs go from all of them.
-    A null identifier sorts first. Other columns are not read. Shuffled: fingerprints, line hashes of documents with repeats, and the texts once."""
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), docs[text_col].alias("text"), *carried_struct(docs, carry))
-    runs = repeated_runs(rows.select("id", F.coalesce("text", F.lit("")).alias("text")), gram=gram, window=window)
+    identifier and text are one place and keep or lose the same lines; rows that share an identifier with different texts are documents of their own, in the order of their texts' hashes.
+    A null identifier sorts first. Empty input gives no rows. A text of any length is one row; its lines' hashes, 8 bytes each, are in one task. Other columns are not read. Shuffled: fingerprints, line hashes of documents with repeats, and the texts once."""
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("hash"), docs[text_col].alias("text"), *carried_struct(docs, carry))
+    runs = repeated_runs(rows.select("id", "hash", F.coalesce("text", F.lit("")).alias("text")), gram=gram, window=window)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,6 +125,6 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             ids = pa.array([None if x == NO_ID else x for x in batch.column(0).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(removed, pa.int64()), *batch.columns[3:]], ["doc_id", "text", "n_lines", "n_removed", *["carried"] * bool(carry)])
 
-    joined = rows.join(runs, "id", "left").select("id", "text", "runs", *["carried"] * bool(carry))
+    joined = rows.join(runs, ["id", "hash"], "left").select("id", "text", "runs", *["carried"] * bool(carry))
     return map_batches(joined, cut, "doc_id long, text string, n_lines long, n_removed long" + carried_schema(joined))
 
