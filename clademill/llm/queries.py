@@ -44,7 +44,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(documents(spark, sf_dir)).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept", "text")
+    """The columns of the digest, then whether anything went, how much is left, and the text that is left."""
+    made = suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+    digest = ["doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")]
+    return made.select(*digest, (F.col("n_removed") > 0).alias("repeats"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), F.col("text").alias("kept_text"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
