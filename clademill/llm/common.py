@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; a batch of the longest documents must fit in a Python worker.
-BATCH_ROWS = 512
+#: Rows and bytes that an operator works on at once; a single longer row is a batch by itself.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 #: The white space of the word and line operators: space, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -25,36 +27,79 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Holds the rows of an Arrow batch to `rows` at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of BATCH_ROWS and BATCH_BYTES at most, so that what is made of a batch is bounded however long its texts are."""
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows or not batch.num_rows:
+            part = batch.slice(at, BATCH_ROWS)
+            while part.num_rows > 1 and part.nbytes > BATCH_BYTES:
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            at += part.num_rows
+            if not batch.num_rows:
+                break
+
+
+def _give_back() -> None:
+    """Free memory of this worker goes back to the system, as the worker lives on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(sliced(batches))
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While a job of ours runs, Spark hands rows to Python in batches no larger than an operator uses; the session's own setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if 0 < int(before) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session, one of our own only where that is unset."""
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return f"{base.rstrip('/')}/clademill"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clademill-"))
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/clademill"
+    """A folder of this application that the driver and all executors see, removed when it ends: in spark.checkpoint.dir of the session; where that is unset, in the
+    checkpoint folder of its context or in the warehouse. A temporary folder is for local mode alone."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="clademill-"))
+        base = context.getCheckpointDir()
+    path = f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/clademill-{context.applicationId}"
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        store.mkdirs(folder)
+        store.deleteOnExit(folder)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows as Parquet into the shared folder and reads them again: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def crc_fold(id_col: Column | str, mod: int = 5) -> Column:
-    """crc32 of the id's decimal text, modulo `mod`; a null id falls in fold of the empty text."""
+    """crc32 of the id's decimal text, modulo `mod`; a null id falls in the fold of the empty text."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod
 

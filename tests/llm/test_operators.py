@@ -1,11 +1,13 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -194,6 +196,41 @@ def test_packing_query_gives_added_tokens_their_ids(spark, tmp_path):
     assert got == {k: (len(x), zlib.crc32(x.tobytes())) for k, x in enumerate(ids)}
 
 
+def test_packing_evolves_beyond_its_start():
+    """Triplets that fill a bin exactly: best fit of the sorted pieces wastes bins, and crossover wins some back."""
+    rng = np.random.default_rng(5)
+    a = rng.integers(380, 499, 40)
+    b = rng.integers(250, (1000 - a) // 2 + 1)
+    lengths = np.concatenate([a, b, 1000 - a - b]).tolist()
+    first = packing.start(rng, lengths, 1000, 0.0)
+    population = [first, *(packing.start(rng, lengths, 1000, 0.05 * k) for k in (1, 2, 3))]
+    best = max(s.value for s in population)
+    evolved = packing.evolve(population, lengths, 1000, rng, children=300)[0]
+    assert evolved.value > best and len(evolved.bins) < len(first.bins)
+    assert sorted(i for b in evolved.bins for i in b) == list(range(120))
+
+
+def test_packing_gathers_the_room_of_all_shards(spark, monkeypatch):
+    """With many shards, the sequences are those of the global bound and few more: the last bins of the shards are packed again together."""
+    monkeypatch.setattr(packing, "SHARD", 150)
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 900, 6000).tolist()
+    made = spark.createDataFrame([(k, 0, n) for k, n in enumerate(lengths)], "row long, piece int, length long").repartition(4)
+    rows = packing.pack(made, 2048).collect()
+    assert sorted(r.row for r in rows) == list(range(6000))
+    bound = math.ceil(sum(lengths) / 2048)
+    assert len({r.sequence_id for r in rows}) <= bound + 3
+
+
+def test_packing_ids_of_other_vocabularies_come_from_the_library():
+    from tokenizers import Tokenizer
+
+    other = public_tokenizers.path("word_bpe_49k.json")
+    lib, texts = Tokenizer.from_file(other), ["Some words, and more.", "", "naïve café"]
+    assert packing.ids_of(other).ranks is None and packing.ids_of(JSON).ranks is not None
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.token_ids(texts, other, True)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_crossover_keeps_every_piece():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 100, 300).tolist()
@@ -238,57 +275,38 @@ def test_token_counts(spark, docs, real):
         assert token_counts.section_counts(text, [a for a, _ in spans], [b for _, b in spans], RANKS) == brute(text, spans)
 
 
-def test_line_dedup(spark, docs, real):
-    def brute(rows, gram, window):
-        places = {}
-        for i, t in rows:
-            places.setdefault(i if i is not None else line_dedup.NO_ID, []).append(t or "")
-        hashes = {i: min((line_dedup.line_hashes(t)[0] for t in ts), key=lambda h: h.astype("<u8").tobytes()) for i, ts in places.items()}
-        first = {}
-        prints = []
-        for i in sorted(places):
-            for t in places[i]:
-                h = [int(x) for x in line_dedup.line_hashes(t)[0]]
-                for a in line_dedup.fingerprints(np.array(h, np.uint64), gram, window)[0].tolist():
-                    g = tuple(h[a : a + gram])
-                    first[g] = min(first.get(g, (i, a)), (i, a))
-                    prints.append((g, i, a))
-        gone = defaultdict(set)
-        for g, i, a in prints:
-            j, b = first[g]
-            if (i, a) == (j, b):
-                continue
-            x, y = hashes[i].tolist(), hashes[j].tolist()
-            if x[a : a + gram] != list(g) or y[b : b + gram] != list(g):
-                continue
-            k = 0
-            while a - k - 1 >= 0 and b - k - 1 >= 0 and x[a - k - 1] == y[b - k - 1]:
-                k += 1
-            m = 0
-            while a + m < len(x) and b + m < len(y) and x[a + m] == y[b + m]:
-                m += 1
-            gone[i] |= set(range(a - k, a + m))
-        return gone
+def plain_lines(rows):
+    """(id, text) -> what is left: of each line's content only the first place stays, by identifier (null first) and position. Equal rows are one place."""
+    seen, out = set(), {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        lines, own = (t or "").split("\n"), []
+        for line in lines:
+            content = line.strip(" \t\n\x0b\x0c\r")
+            if not content or content not in seen:
+                own.append(line)
+            seen |= {content} if content else set()
+        out[i, t] = t if len(own) == len(lines) else "\n".join(own), sum(bool(x.strip(" \t\n\x0b\x0c\r")) for x in lines), len(lines) - len(own)
+    return out
 
+
+def test_line_dedup(spark, docs, real):
     for frame in (docs, spark.read.parquet(f"{DATA}/documents.parquet")):
         rows = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
-        gone = brute(rows, line_dedup.GRAM, line_dedup.WINDOW)
+        want = plain_lines(rows)
         got = line_dedup.line_dedup(frame, carry=("source",)).collect()
-        assert len(got) == len(rows)
-        by = defaultdict(list)
-        for i, t in rows:
-            by[i].append(t)
-        for r in got:
-            full = len(by[r.doc_id]) == 1
-            if full:
-                t = by[r.doc_id][0]
-                at = line_dedup.line_hashes(t or "")[1]
-                drop = {at[k] for k in gone[r.doc_id if r.doc_id is not None else line_dedup.NO_ID] if k < len(at)}
-                assert r.n_removed == len(drop)
-                assert r.text == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop))
+        assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got) == Counter((i, *want[i, t]) for i, t in rows)
+    got = queries.op7_line_dedup(spark, DATA).collect()
+    want = plain_lines(list(real.items()))
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in got} == {i: (want[i, t][1], want[i, t][2], hashlib.sha256((want[i, t][0] or "").encode()).hexdigest()) for i, t in real.items()}
     assert line_dedup.line_dedup(nasty.empty(spark)).count() == 0
 
 
+def test_line_dedup_of_one_identifier_with_two_texts(spark):
+    rows = [(1, "alpha\nbeta\ngamma\ndelta"), (2, "u1\nu2\nu3\nu4\nu5\nu6"), (2, "alpha\nbeta\ngamma\ndelta")]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, rows[0][1]), (2, ""), (2, rows[1][1])]
+
+
 def test_line_dedup_removes_every_repeated_line(spark):
     """All repeated runs, of one line as well: by brute force each line but the first place of its content goes."""
     rng = np.random.default_rng(5)
@@ -328,13 +346,56 @@ def brute_repeats(rows, length=400):
 
 
 def test_suffix_dedup(spark, docs, real):
-    for frame in (docs, spark.read.parquet(f"{DATA}/documents.parquet").limit(100)):
+    for frame in (docs, spark.read.parquet(f"{DATA}/documents.parquet")):
         rows = [(r.doc_id, (r.text or "").encode()) for r in frame.select("doc_id", "text").collect()]
         got = suffix_dedup.suffix_dedup(frame).collect()
         assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == brute_repeats(rows)
     assert suffix_dedup.suffix_dedup(nasty.empty(spark)).count() == 0
 
 
+def test_suffix_query(spark, real):
+    want = brute_repeats([(i, (t or "").encode()) for i, t in real.items()])
+    got = queries.op8_suffix_dedup(spark, DATA).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    assert all(r.repeats == (r.n_removed > 0) and r.n_kept == r.n_bytes - r.n_removed for r in got)
+
+
+def test_suffix_queues_on_disk_equal_arrays_and_brute_force():
+    """Seeds of a key beyond the number for arrays go through queues on disk; long texts are cut into parts. A licence between random bytes gives keys with many contexts."""
+    rng = random.Random(1)
+    shared = bytes(rng.choices(b"abcdefgh ", k=900))
+
+    def cover(raws, chunk, part, monkey):
+        monkey.setattr(suffix_dedup, "PART", part)
+        rows = []
+        for b in suffix_dedup.contexts(raws, np.arange(len(raws)), np.arange(len(raws))):
+            rows += zip(*(b.column(k).to_pylist() for k in range(6)), strict=True)
+        rows.sort(key=lambda r: r[:3])
+        kinds = [pa.int64(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+        batches = [pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[k : k + 50], strict=True), kinds, strict=True)], list("abcdef")) for k in range(0, len(rows), 50)]
+        out = [bytearray(len(r)) for r in raws]
+        for b in suffix_dedup.induced(batches, chunk):
+            for i, _, x, y in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                out[i][x:y] = b"\1" * (y - x)
+        return out
+
+    for _ in range(2):
+        raws = [b"x" * 700, b"ab" * 600, b"short", b""]
+        for _ in range(60):
+            a, z = rng.choice([(0, 900), (rng.randint(0, 300), rng.randint(600, 900))])
+            raws.append(bytes(rng.choices(b"ab", k=rng.randint(0, 500))) + shared[a:z] + bytes(rng.choices(b"ab", k=rng.randint(0, 500))))
+        raws += [raws[9], raws[9]]
+        count = Counter(r[k : k + 400] for r in raws for k in range(len(r) - 399))
+        want = [bytearray(len(r)) for r in raws]
+        for r, w in zip(raws, want, strict=True):
+            for k in range(len(r) - 399):
+                if count[r[k : k + 400]] > 1:
+                    w[k : k + 400] = b"\1" * 400
+        for chunk, part in ((1 << 20, 1 << 20), (3, 1 << 20), (1, 1 << 20), (7, 500)):
+            with pytest.MonkeyPatch.context() as monkey:
+                assert cover(raws, chunk, part, monkey) == want
+
+
 def brute_components(rows, k, share):
     sets = []
     for _, t in rows:
