@@ -462,7 +462,7 @@ def test_near_dedup_blocks_find_every_pair_that_shares_a_key(spark):
             want.add((b, a))
         groups += [(key, c, c, 2) for key in shared for c in (a, b)]
     split = spark.createDataFrame(groups, "key long, class long, comp long, n long")
-    sketch = signed.select(signed.doc_id.alias("class"), signed.n_shingles.cast("int").alias("n"), signed.registers.alias("low"), "keys")
+    sketch = signed.select(signed.doc_id.alias("class"), signed.n_shingles.cast("int").alias("n"), "registers", "keys")
     got = {(r.a, r.b) for r in near_dedup._across(docs, split, sketch, 3, (85, 100)).collect()}
     assert len(want) > 300 and want <= got
 
