@@ -138,24 +138,102 @@ def test_lm_scores(spark, docs, real):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 5 == 1, len(tokens), sum(train[w] > 0 for w in tokens), n)
         assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and r.score < 0
-    known = [r for r in got.values() if not r.held_out]
+    # Both folds are scored as unseen, and a document that occurs twice stands out.
+    copies = Counter(real.values())
+    bits = {h: sum(got[i].score for i, t in real.items() if got[i].held_out == h and copies[t] == 1) / sum(len(t.encode()) for i, t in real.items() if got[i].held_out == h and copies[t] == 1) for h in (False, True)}
+    assert abs(bits[True] / bits[False] - 1) < 0.15
+    long = [i for i, t in real.items() if len(t.split()) > 60]
+    twice, once = ([got[i].bits_per_byte for i in long if (copies[real[i]] > 1) == x] for x in (True, False))
+    assert twice and np.median(twice) < 0.5 * np.quantile(once, 0.25)
+    known = [r for r in got.values() if r.held_out and r.n_known == r.n_tokens]
     assert sum(r.score for r in known) > sum(r.base_score for r in known)
     rows = context_mix.lm_scores(docs).collect()
     assert len(rows) == len(nasty.rows()) and all(r.score < 0 and r.n_tokens >= 1 for r in rows)
     assert context_mix.lm_scores(nasty.empty(spark)).count() == 0
 
 
-def test_lm_probabilities_sum_to_one():
-    counts = np.array([5, 3, 9, 4, 2, 1])
-    vocab = context_mix.Vocabulary([b"a", b"b", b"c", b"d"], counts[2:], 2, 24, 5, 4)
-    vocab.build()
+def test_lm_score_without_guesses_is_the_plain_formula(spark):
+    """Documents in which no guess is possible: words are drawn by the counts of the other documents, and those without a count are spelt."""
+    rng = random.Random(4)
+    pool = [f"w{k}" for k in range(40)]
+    texts = [" ".join([*rng.sample(pool, 5), f"own{k}x"]) for k in range(60)]
+    got = {r.doc_id: r for r in context_mix.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in range(60)}
+    train = Counter(w for k, t in enumerate(texts) if not held[k] for w in [*t.encode().split(), b""])
+    total, once = sum(train.values()), [w for w, n in train.items() if n == 1]
+    escape = (len(once) + 0.5) / (total + 1)
+    speller = context_mix.Speller(context_mix.spelling_counts(spark.createDataFrame([(w,) for w in once], "word binary")))
+    for k, t in enumerate(texts):
+        own = Counter() if held[k] else Counter([*t.encode().split(), b""])
+        want, fresh = 0.0, []
+        for w in [*t.encode().split(), b""]:
+            n = train[w] - own[w]
+            if n > 0:
+                want += math.log10((1 - escape) * n / (total - sum(own.values())))
+            else:
+                fresh.append(w)
+        for j, w in enumerate(fresh):
+            want += math.log10(escape * context_mix.NEW_WORDS / (context_mix.NEW_WORDS + j)) + float(speller([w], np.array([train[w] == 1]))[0])
+        assert abs(got[k].score - want) < 1e-5 * abs(want)
+
+
+def test_lm_bits_are_probabilities():
+    """Whatever came before, a bit and its opposite have probability 1 together, in guesses and in spelling."""
     rng = np.random.default_rng(3)
-    tables = {k: rng.integers(0, 65536, 1 << b).astype(np.uint16) for k, b in ((1, 22), (2, 22), (3, 20), (4, 20))}
-    model = context_mix.Model(vocab, tables, context_mix.Mixer.new(context_mix.GATES, 3, 0.4), context_mix.Mixer.new(5, 2, 0.5))
-    for before in ([], [2, 3]):
-        docs = [np.array([*before, s], np.int32) for s in range(6)]
-        first = model.paths([np.array(before, np.int32)])[0] if before else 0.0
-        assert abs(sum(10 ** (x - first) for x in model.paths(docs)) - 1) < 1e-4
+    tables = context_mix.logits([rng.integers(0, 50, (n, 2)) for n in context_mix.table_sizes()])
+    n = 300
+    kind = rng.integers(0, 3, n)
+    slots = [kind * context_mix.STATES + rng.integers(0, 32, n), *((kind << context_mix.SLOT_BITS) + rng.integers(0, 1 << context_mix.SLOT_BITS, n) for _ in range(2))]
+    bit = rng.integers(0, 2, n).astype(np.int8)
+    for m in (1, 40, 170, 300):
+        scores = []
+        for last in (0, 1):
+            one = bit[:m].copy()
+            one[-1] = last
+            scores.append(context_mix.score_bits(context_mix.Bits(np.zeros(m, np.int64), kind[:m], one, [s[:m] for s in slots], np.zeros(0, bool)), tables, 1)[0])
+        before = context_mix.score_bits(context_mix.Bits(np.zeros(m - 1, np.int64), kind[: m - 1], bit[: m - 1], [s[: m - 1] for s in slots], np.zeros(0, bool)), tables, 1)[0]
+        assert abs(sum(10 ** (x - before) for x in scores) - 1) < 1e-6
+    spell = context_mix.Speller([rng.integers(0, 65536, 1 << context_mix.SPELL_BITS).astype(np.uint16) for _ in context_mix.SPELL_ORDERS])
+    total = sum(10 ** spell([bytes([b])], np.array([False]))[0] for b in range(256))
+    assert total <= 1 + 1e-6  # words of one byte, each with the space behind it
+
+
+def test_lm_matches_equal_brute_force(spark):
+    rng = random.Random(9)
+    base = [f"t{rng.randint(0, 500)}" for _ in range(400)]
+    docs = []
+    for k in range(30):
+        own = [f"d{k}_{j}" for j in range(rng.randint(0, 20))]
+        a = rng.randint(0, 300)
+        piece = base[a : a + rng.randint(20, 100)]
+        piece[rng.randrange(len(piece))] = f"e{k}"
+        docs.append((k, k % 3 == 0, own + piece))
+    vocab = context_mix.Vocabulary([b""], np.array([1]), 1, 1, 1)
+    rows = spark.createDataFrame([(k, k * 7, " ".join(t), h) for k, h, t in docs], "id long, hash long, text string, held boolean").repartition(4)
+    ordered = context_mix.places(rows, spark.sparkContext.broadcast(vocab)).repartition(3, "kind", "key").sortWithinPartitions("kind", "key", "held", "deal", "id", "hash", "pos")
+    got = {(r.id, r.pos): (r.right, r.failed, r.agree) for r in context_mix.matches(ordered).where("kind = 0").collect()}
+    vocab.build()
+    groups, runs = defaultdict(list), {}
+    for k in range(len(docs)):
+        tokens = context_mix.Tokens.of(vocab, [" ".join(docs[k][2])])
+        at, keys, length = context_mix.anchors(tokens)
+        whole = [*docs[k][2], ""]
+        for a, key, n in zip(at.tolist(), keys.tolist(), length.tolist(), strict=True):
+            assert a >= context_mix.CONTEXT
+            groups[key].append((k, a))
+            runs[k, a] = whole[a : a + n]
+    for key, members in groups.items():
+        for k, a in members:
+            others = [runs[j, b] for j, b in members if j != k and not docs[j][1]]
+            if not others:
+                assert (k, a) not in got
+                continue
+            lengths = set()
+            for run in others:
+                n = next((x for x in range(min(len(run), len(runs[k, a]))) if run[x] != runs[k, a][x]), min(len(run), len(runs[k, a])))
+                lengths.add((n, n < min(len(run), len(runs[k, a]))))
+            assert got[k, a][:2] in lengths  # the guess is the run of another training document
+    assert len(got) > 20
 
 
 def test_packing(spark, docs):
