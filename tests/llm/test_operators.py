@@ -116,12 +116,43 @@ def test_language_id(spark, docs):
     assert lang_id.language_id(nasty.empty(spark)).count() == 0
 
 
-def test_language_bundle_is_the_sum_of_bound_letters():
-    letters = np.random.default_rng(20240229).choice(np.array([-1.0, 1.0], np.float32), (lang_id.N_SYMBOLS, lang_id.DIMENSION))
-    codes = [1, 2, 3, 4, 0]
-    want = sum(np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False))
-    got = lang_id.bundle(np.array([(a * 32 + b) * 32 + c for a, b, c in zip(codes, codes[1:], codes[2:], strict=False)]))
-    assert np.allclose(got, want)
+def test_language_bundle_is_the_sum_of_bound_letters(monkeypatch):
+    """Every letter of any script has a vector of its own; n-grams are bound by turning and multiplying, whatever the size of the parts."""
+    texts = ["Ab, cÄ ab", "漢字かな交じり文", "", "42", "x"]
+    table = {ord(c): v for c, v in zip(sorted(set("".join(texts).lower())), lang_id.letter_vectors(np.array([ord(c) for c in sorted(set("".join(texts).lower()))])), strict=True)}
+    table[0] = lang_id.letter_vectors(np.array([0]))[0]
+    assert len({v.tobytes() for v in table.values()}) == len(table) and set(np.unique(np.stack(list(table.values())))) == {-1.0, 1.0}
+    want = []
+    for t in texts:
+        seen = [0, *(ord(c) if c.isalpha() else 0 for c in re.sub(r"[\W\d_]+", " ", t.lower())), 0]
+        seen = [c for k, c in enumerate(seen) if c or not k or seen[k - 1]]
+        want.append(sum((np.roll(table[a], 2) * np.roll(table[b], 1) * table[c] for a, b, c in zip(seen, seen[1:], seen[2:], strict=False) if b), np.zeros(lang_id.DIMENSION)))
+    for size in (16384, 3):
+        monkeypatch.setattr(lang_id, "VECTORS", size)
+        assert np.allclose(lang_id.bundles(texts, [0, 1, 2, 3, 4], 5), np.array(want))
+
+
+def test_language_query_equals_brute_force(spark, real):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect()
+    total = defaultdict(lambda: np.zeros(lang_id.DIMENSION))
+    vector = {r.doc_id: sum(map(lambda g: lang_id.gram_vectors(g[None])[0], lang_id.grams(r.text or "")[:400]), np.zeros(lang_id.DIMENSION)) if len(r.text or "") < 400 else lang_id.bundles([r.text], [0], 1)[0] for r in rows}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None and r.text is not None:
+            total[r.lang] += vector[r.doc_id]
+    langs = sorted(total)
+    got = {r.doc_id: r for r in queries.op3_language_id(spark, DATA).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        v = vector[r.doc_id]
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        if not v.any():
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        near = np.array([v @ total[k] / np.linalg.norm(v) / np.linalg.norm(total[k]) for k in langs])
+        if np.diff(np.sort(near))[-1] > 1e-4:
+            assert got[r.doc_id].lang_pred == langs[int(np.argmax(near))]
+        assert abs(got[r.doc_id].cosine - near.max()) < 1e-4
+        assert abs(got[r.doc_id].score - 1 / np.exp((near - near.max()) / lang_id.TEMPERATURE).sum()) < 1e-3
 
 
 def test_lm_scores(spark, docs, real):
