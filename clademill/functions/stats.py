@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clademill.operators.graph import checkpointed
+
 # Coefficients of the rational erfc of Numerical Recipes, constant first; relative error below 1.2e-7.
 ERFC = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
 # Coefficients of the Lanczos series with g = 5 of Numerical Recipes.
@@ -89,12 +91,12 @@ def benjamini_hochberg(df: DataFrame, p: str, keys: list[str], order: list[str],
 
 
 def global_benjamini_hochberg(df: DataFrame, p: str, order: list[str], out: str = "q", buckets: int = 64) -> DataFrame:
-    """The same over all rows, without one task that sorts them all: ranks come from counts of p in buckets and ranks within the bucket; a bucket's
-    least from the buckets behind it. Only the counts and minima of `buckets` buckets are joined back."""
-    rows = df.withColumn("_p", _usable(F.col(p))).withColumn("_b", F.least(F.lit(buckets - 1), F.floor(F.col("_p") * buckets)).cast("int"))
+    """The same over all rows, without one task that sorts them all: rows are range-partitioned by p and `order` with sampled splitters, so that crowded or equal values are spread as well;
+    ranks come from the partitions' sizes and the rank within, a partition's least from those behind it. Only two numbers of each partition are joined back."""
+    rows = checkpointed(df.withColumn("_p", _usable(F.col(p))).repartitionByRange(buckets, "_p", *order).withColumn("_b", F.spark_partition_id()))
     sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_m"))
+    sizes = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_m"))  # a row for each partition
     ranked = rows.join(F.broadcast(sizes), "_b").withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_p", *order)))
     ranked = ranked.withColumn("_v", F.col("_p") * F.col("_m") / F.col("_rank"))
     least = ranked.groupBy("_b").agg(F.min("_v").alias("_l"))

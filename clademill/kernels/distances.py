@@ -14,25 +14,30 @@ for _k, _b in enumerate("ACGT"):
 _CODE[ord("U")] = _CODE[ord("u")] = 3
 
 
-def tn93(one: str, two: str, floor: float = 0.02) -> float:
-    """Tamura-Nei distance over places where both are resolved; frequencies are kept off zero, and where its logarithms fail the Jukes-Cantor distance stands in."""
+def base_shares(seqs: list[str]) -> np.ndarray:
+    """Shares of A, C, G, T over all resolved places of all sequences."""
+    n = sum((np.bincount(_CODE[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)], minlength=5)[:4] for s in seqs), np.zeros(4))
+    return n / n.sum() if n.sum() else np.full(4, 0.25)
+
+
+def tn93(one: str, two: str, pi: np.ndarray | None = None, floor: float = 0.02) -> float:
+    """Tamura-Nei distance over places where both are resolved, with the base shares `pi` of the whole alignment (of this pair if None). The arguments of its logarithms are kept at `floor`
+    or more, so diverged pairs have a large distance and not none; where a base is missing altogether, all bases count as equally frequent."""
     a, b = (_CODE[np.frombuffer(x.encode("latin-1"), np.uint8)] for x in (one, two))
     both = (a < 4) & (b < 4)
     n = int(both.sum())
     if not n:
         return 1.0
     table = np.bincount(a[both] * 4 + b[both], minlength=16).reshape(4, 4).astype(float)
-    f = np.maximum((table.sum(0) + table.sum(1)) / (2 * n), floor)
-    f /= f.sum()
+    f = base_shares([one, two]) if pi is None else np.asarray(pi, float)
+    if f.min() <= 1e-6:
+        f = np.full(4, 0.25)
     p1, p2 = (table[0, 2] + table[2, 0]) / n, (table[1, 3] + table[3, 1]) / n
     q = 1 - np.trace(table) / n - p1 - p2
     r, y = f[0] + f[2], f[1] + f[3]
     k1, k2, k3 = 2 * f[0] * f[2] / r, 2 * f[1] * f[3] / y, 2 * (r * y - f[0] * f[2] * y / r - f[1] * f[3] * r / y)
-    x1, x2, x3 = 1 - p1 / k1 - q / (2 * r), 1 - p2 / k2 - q / (2 * y), 1 - q / (2 * r * y)
-    if min(x1, x2, x3) > 0:
-        return max(0.0, -k1 * math.log(x1) - k2 * math.log(x2) - k3 * math.log(x3))
-    different = 1 - np.trace(table) / n
-    return -0.75 * math.log(max(1e-3, 1 - 4 * different / 3))
+    x1, x2, x3 = (max(floor, x) for x in (1 - p1 / k1 - q / (2 * r), 1 - p2 / k2 - q / (2 * y), 1 - q / (2 * r * y)))
+    return max(0.0, -k1 * math.log(x1) - k2 * math.log(x2) - k3 * math.log(x3))
 
 
 def hamming(one: str, two: str) -> float:
@@ -42,11 +47,12 @@ def hamming(one: str, two: str) -> float:
 
 
 def tn93_matrix(seqs: list[str]) -> np.ndarray:
-    n = len(seqs)
+    """All distances of an alignment, with the base shares of all its sequences."""
+    n, pi = len(seqs), base_shares(seqs)
     out = np.zeros((n, n))
     for i in range(n):
         for j in range(i + 1, n):
-            out[i, j] = out[j, i] = tn93(seqs[i], seqs[j])
+            out[i, j] = out[j, i] = tn93(seqs[i], seqs[j], pi)
     return out
 
 

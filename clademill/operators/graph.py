@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the session's checkpoint folder; a folder of our own only where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clademill-"))
+    """Cuts lineage through the folder that spark.checkpoint.dir names; where it is unset, through one in the warehouse, or in local mode a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            folder = tempfile.mkdtemp(prefix="clademill-")
+        context.setCheckpointDir(folder or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/clademill-checkpoints")
     return df.checkpoint()
 
 

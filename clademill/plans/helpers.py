@@ -1,4 +1,4 @@
-"""Planner helpers: evaluate once for each distinct key, early outs, broadcast models."""
+"""Planner helpers: early outs and broadcast models."""
 
 from __future__ import annotations
 
@@ -10,11 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def dedup_apply(df: DataFrame, keys: list[str], kernel: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """distinct -> kernel -> join back: Catalyst doesn't evaluate a kernel once for equal inputs by itself."""
-    return df.join(kernel(df.select(*keys).distinct()), keys)
-
-
 def early_out(df: DataFrame, condition: Column, constant: dict[str, Column], kernel: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows that meet the condition get constants, only the others go through the kernel."""
     done = df.where(condition).withColumns(constant)
@@ -32,8 +27,3 @@ def with_model(df: DataFrame, model: Any, kernel: Callable[[Any, pd.DataFrame],
 
     dealt = df.repartition(tasks) if tasks else df
     return dealt.mapInPandas(run, schema)
-
-
-def size_switch(n: int, small: Callable[[], Any], large: Callable[[], Any], limit: int = 5000) -> Any:
-    """The driver's own loop for small problems, one job for each step of large ones."""
-    return small() if n <= limit else large()

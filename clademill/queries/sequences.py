@@ -9,6 +9,7 @@ from clademill.analyses import gene_tests, site_scans
 from clademill.analyses.dataset import Dataset
 from clademill.analyses.simulate import DEMO_TREE, simulate
 from clademill.functions import sequence as Q
+from clademill.kernels import frames
 from clademill.model.codes import CODONS, STANDARD, codon_table
 from clademill.operators import alignment
 from clademill.queries.registry import query, table
@@ -32,10 +33,10 @@ WITH d AS (SELECT lang, {DNA} AS dna FROM documents), c AS (SELECT lang, substri
 g AS (SELECT lang, codon, aa, count(*) AS n FROM c JOIN {TABLE} USING (codon) GROUP BY ALL)
 SELECT lang, codon, aa, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY lang, aa), 6) AS share FROM g""")
 def codon_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ01, PRJ05, JN03: exploded codons joined to the code."""
+    """PRJ01, PRJ05, JN03: codons joined to the code."""
     from pyspark.sql import Window
 
-    long = _dna(spark, sf_dir).select("lang", F.explode(Q.triplets(F.col("dna"))).alias("codon")).groupBy("lang", "codon").agg(F.count(F.lit(1)).alias("n"))
+    long = frames.codon_counts(_dna(spark, sf_dir), "lang", "dna")
     both = long.join(F.broadcast(codon_table(spark)), "codon")  # 64 rows
     return both.select("lang", "codon", "aa", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("lang", "aa")), 6).alias("share"))
 
@@ -58,12 +59,7 @@ a AS (SELECT doc_id, frame, string_agg(aa, '' ORDER BY k) AS protein, count(*) F
 SELECT doc_id, frame::BIGINT AS frame, stops, starts, list_max(list_transform(string_split(protein, '*'), lambda x: length(x))) AS longest FROM a""")
 def six_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR02, STR03, PRJ18: stops, starts and the longest open stretch in all six frames."""
-    dna = _dna(spark, sf_dir)
-    both = dna.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("strand"), F.col("dna").alias("seq")), F.struct(F.lit(1).alias("strand"), Q.reverse_complement(F.col("dna")).alias("seq")))).alias("s"))
-    frames = both.select("doc_id", (F.col("s.strand") * 3).alias("base"), F.explode(F.array(*(F.struct(F.lit(k).alias("o"), F.substring(F.col("s.seq"), F.lit(k + 1), F.length("s.seq")).alias("seq")) for k in range(3)))).alias("f"))
-    frames = frames.select("doc_id", (F.col("base") + F.col("f.o")).cast("long").alias("frame"), F.col("f.seq").alias("seq")).where("length(seq) >= 3")
-    read = frames.select("doc_id", "frame", Q.translate_dna(F.col("seq")).alias("protein"), F.size(F.filter(Q.triplets(F.col("seq")), lambda t: t == "ATG")).cast("long").alias("starts"))
-    return read.select("doc_id", "frame", F.regexp_count("protein", F.lit(r"\*")).cast("long").alias("stops"), "starts", F.array_max(F.transform(F.split("protein", r"\*"), F.length)).cast("long").alias("longest"))
+    return frames.open_frames(_dna(spark, sf_dir), "doc_id", "dna")
 
 
 @query("""
