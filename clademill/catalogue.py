@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clademill.queries import more, relational, sequences, statistics
+from clademill.queries import inventory, more, relational, sequences, statistics
 from clademill.queries.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "more", "relational", "sequences", "statistics"]
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "inventory", "more", "relational", "sequences", "statistics"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

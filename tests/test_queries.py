@@ -34,7 +34,7 @@ def test_components_of_all_edges(spark):
     for a, b in edges:
         one, two = sorted((find(a), find(b)))
         parent[two] = one
-    assert {r.node: r.component for r in catalogue.QUERIES["graph_components_all"](spark, DATA).collect()} == {x: find(x) for x in parent}
+    assert {r.node: r.component for r in catalogue.QUERIES["graph_components"](spark, DATA).collect()} == {x: find(x) for x in parent}
 
 
 def test_best_segments_of_a_strong_segment_pass_a_corrected_threshold(spark):
