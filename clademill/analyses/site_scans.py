@@ -19,7 +19,7 @@ from clademill.operators.alignment import invariant
 from clademill.plans.helpers import early_out, with_model
 
 LOW, HIGH = 1e-4, 1000.0
-# Where the two rates of a site start.
+# Where the two rates of a site start; a choice of our own.
 STARTS = [(1.0, 1.0), (0.1, 0.1), (1.0, 0.1), (0.1, 1.0), (1.0, 3.0), (3.0, 1.0), (0.5, 0.25), (0.05, 0.01), (0.25, 2.0), (2.0, 0.05), (5.0, 5.0), (0.01, 0.5)]
 
 

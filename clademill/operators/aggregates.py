@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clademill.operators.graph import checkpointed
+
+
+def numbered(df: DataFrame, order: list[str], out: str, parts: int = 64) -> DataFrame:
+    """Numbers all rows from 0 in order, without one task that sorts them all: sampled splitters deal them out, and each partition begins where the ones before it end. The order must be total."""
+    rows = checkpointed(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return rows.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + within).drop("_part", "_before")
+
 
 def compress_patterns(df: DataFrame, states: list[str], site: str) -> DataFrame:
-    """Distinct columns with weights: (pattern_id, states, weight, first_site, sites); numbered in the order of their first sites."""
-    grouped = df.groupBy(*states).agg(F.count(F.lit(1)).alias("weight"), F.min(site).alias("first_site"), F.sort_array(F.collect_list(site)).alias("sites"))
-    return grouped.withColumn("pattern_id", F.row_number().over(Window.orderBy("first_site")) - 1)
+    """Distinct columns with weights: (states, weight, first_site, pattern_id), numbered in the order of their first sites. Which sites a pattern has is in `df` itself: expand_patterns joins it back."""
+    return numbered(df.groupBy(*states).agg(F.count(F.lit(1)).alias("weight"), F.min(site).alias("first_site")), ["first_site"], "pattern_id")
 
 
-def expand_patterns(results: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Results by pattern -> results by site."""
-    return patterns.select("pattern_id", F.explode("sites").alias("site")).join(results, "pattern_id")
+def expand_patterns(results: DataFrame, patterns: DataFrame, df: DataFrame, states: list[str], site: str) -> DataFrame:
+    """Results by pattern -> results by site, by the states of each site; nulls are states like others."""
+    found = patterns.select("pattern_id", *(F.col(c).alias(f"_{c}") for c in states)).join(results, "pattern_id")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in states))
+    return df.select(F.col(site).alias("site"), *states).join(found, same).drop(*states, *(f"_{c}" for c in states))
 
 
 def gini_weights(df: DataFrame, site: str, state: str) -> DataFrame:

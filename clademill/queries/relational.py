@@ -104,9 +104,12 @@ def site_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH p AS (SELECT o_orderstatus, o_orderpriority, avg(o_totalprice) AS v FROM orders GROUP BY ALL) SELECT o_orderkey AS site, round(v, 4) AS value FROM orders JOIN p USING (o_orderstatus, o_orderpriority)""")
 def expanded_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN02: evaluate once for each pattern, expand to sites."""
-    patterns = A.compress_patterns(table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", "o_orderkey", "o_totalprice"), ["o_orderstatus", "o_orderpriority"], "o_orderkey")
-    values = table(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.avg("o_totalprice").alias("value"))
-    return A.expand_patterns(patterns.select("pattern_id", "o_orderstatus", "o_orderpriority").join(values, ["o_orderstatus", "o_orderpriority"]).select("pattern_id", "value"), patterns).select("site", F.round("value", 4).alias("value"))
+    states = ["o_orderstatus", "o_orderpriority"]
+    orders = table(spark, sf_dir, "orders")
+    patterns = A.compress_patterns(orders, states, "o_orderkey")
+    values = orders.groupBy(*states).agg(F.avg("o_totalprice").alias("value"))
+    results = patterns.select("pattern_id", *states).join(values, states).select("pattern_id", "value")
+    return A.expand_patterns(results, patterns, orders, states, "o_orderkey").select("site", F.round("value", 4).alias("value"))
 
 
 @query("""

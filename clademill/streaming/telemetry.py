@@ -59,19 +59,28 @@ def once(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> Data
 STATES = {("new", "signup"): "queued", ("queued", "click"): "submitted", ("submitted", "view"): "running", ("running", "purchase"): "done", ("running", "error"): "failed"}
 
 
+#: A job without an event for so long leaves the state.
+JOB_TTL_MS = 48 * 3_600_000
+
+
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     now, steps = state.get if state.exists else ("new", 0)
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"]) if not state.hasTimedOut else pd.DataFrame()
+    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
     for kind in rows.get("event_type", []):
         if (to := STATES.get((now, kind))) is not None:
             now, steps = to, steps + 1
     state.update((now, steps))
+    last = int(rows["ts"].max().timestamp() * 1000) if len(rows) else 0
+    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + JOB_TTL_MS)
     yield pd.DataFrame({"user_id": [key[0]], "state": [now], "steps": [steps]})
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """Each user's job through its states, event by event."""
-    return events.groupBy("user_id").applyInPandasWithState(_advance, "user_id long, state string, steps int", "state string, steps int", "update", GroupStateTimeout.NoTimeout)
+def job_states(events: DataFrame, late: str = "48 hours") -> DataFrame:
+    """Each user's job through its states, event by event; a job that is silent for JOB_TTL_MS is forgotten."""
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(_advance, "user_id long, state string, steps int", "state string, steps int", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert(path: str, keys: list[str]):

@@ -13,3 +13,10 @@ def test_streams(spark, tmp_path):
     assert telemetry.run_once(telemetry.per_minute(events), "minute_", "update").count() > 0
     states = telemetry.run_once(telemetry.job_states(events), "jobs_", "update")
     assert states.select("user_id").distinct().count() == total.select("user_id").distinct().count()
+
+
+def test_upsert_keeps_the_last_row_of_each_key(spark, tmp_path):
+    write = telemetry.upsert(str(tmp_path / "t"), ["k"])
+    write(spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), 0)
+    write(spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string"), 1)
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t/v1")).collect()) == [(1, "a"), (2, "c"), (3, "d")]
