@@ -43,6 +43,8 @@ def test_bpe_equals_library(spark, docs, real):
             ids = lib.encode_ordinary(text or "")
             want[len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()] += 1
         assert Counter((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows) == want
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in queries.op1_bpe(spark, DATA).collect()}
+    assert got == {i: (len(ids := lib.encode_ordinary(t or "")), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()) for i, t in real.items()}
     assert bpe.encode_decode(nasty.empty(spark), RANKS).count() == 0
 
 
@@ -373,6 +375,7 @@ def test_token_counts(spark, docs, real):
         found = defaultdict(list)
         for r in token_counts.token_counts(frame, RANKS).collect():
             found[r.doc_id].append(r)
+        assert set(found) == {i for i, some in texts.items() if any(some)}  # only documents without text have no row
         for i, rows in found.items():
             if len(texts[i]) == 1:
                 rows.sort(key=lambda r: r.start)
