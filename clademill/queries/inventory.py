@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clademill.analyses import genes
 from clademill.analyses.simulate import DEMO_TREE, simulate
-from clademill.operators import branches
+from clademill.operators import branches, islands, lineages
 from clademill.queries.registry import query, table
 from clademill.sources import tables
 
@@ -85,6 +85,63 @@ def active_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") >= F.col("near")).alias("active"))
 
 
+@query("""
+WITH c AS (SELECT l_returnflag, l_suppkey AS branch, l_partkey AS site, sum(l_discount)::DOUBLE * 5 AS u FROM lineitem GROUP BY ALL),
+b AS (SELECT l_returnflag, l_suppkey AS branch, count(*) / 100.0 + l_suppkey % 7 AS length FROM lineitem GROUP BY l_returnflag, l_suppkey),
+o AS (SELECT l_returnflag, branch, sum(u) AS observed, count(*) FILTER (u >= 0.6) AS invaded FROM c GROUP BY ALL),
+n AS (SELECT l_returnflag, count(DISTINCT site) AS core FROM c GROUP BY ALL),
+e AS (SELECT *, greatest(1e-5, greatest(1e-5, length) - greatest(0, observed - 1) / 5000) AS eff FROM b JOIN o USING (l_returnflag, branch) JOIN n USING (l_returnflag)),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY observed / eff, branch) AS rank, count(*) OVER (PARTITION BY l_returnflag) AS m FROM e),
+k AS (SELECT *, (rank <= greatest(1, floor(m * 85 / 100)))::INT::DOUBLE AS kept FROM r),
+d AS (SELECT *, sum(kept * observed) OVER (PARTITION BY l_returnflag) - kept * observed AS changes, sum(kept * eff) OVER (PARTITION BY l_returnflag) - kept * eff AS lengths FROM k),
+x AS (SELECT *, greatest(0.25, CASE WHEN lengths > 1e-5 THEN changes / lengths ELSE 0 END * eff) AS expected FROM d),
+y AS (SELECT *, greatest(expected * 2, least(observed, greatest(expected * 3, length * core * 0.75))) AS rate, observed > 2 * expected AND invaded >= 2 AND observed >= 2.5 AS tested FROM x)
+SELECT l_returnflag, branch, round(observed, 6) AS observed, round(expected, 6) AS expected, invaded, round(CASE WHEN tested THEN greatest(-20, least(20, observed * ln(rate / expected) - (rate - expected))) END, 6) AS log_bf,
+  round(CASE WHEN tested THEN greatest(0, 2 * (observed * ln(observed / expected) - (observed - expected))) END, 6) AS lrt FROM y""")
+def lost_constraint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ANA24: suppliers with more at their parts than the others, by leaving each out."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_suppkey").alias("branch"), F.col("l_partkey").alias("site"), F.col("l_discount").cast("double").alias("d"))
+    counts = rows.groupBy("l_returnflag", "branch", "site").agg((F.sum("d") * 5).alias("u"))
+    lengths = rows.groupBy("l_returnflag", "branch").agg((F.count(F.lit(1)) / 100.0 + F.col("branch") % 7).alias("length")).withColumn("sites", F.lit(5000))
+    found = lineages.constraint_loss(counts, lengths, ["l_returnflag"])
+    return found.select("l_returnflag", "branch", "invaded", *(F.round(c, 6).alias(c) for c in ("observed", "expected", "log_bf", "lrt")))
+
+
+@query("""
+WITH c AS (SELECT event_type, user_id AS site, dayofyear(ts) AS branch, least(1.2, sum(value) / 50) AS u FROM events GROUP BY ALL HAVING sum(value) > 0),
+l AS (SELECT event_type, branch, greatest(1e-4, 0.25 * 0.1 + sum(u)) AS load FROM c GROUP BY ALL), s AS (SELECT *, load / sum(load) OVER (PARTITION BY event_type) AS share FROM l),
+g AS (SELECT event_type, sum(load ** 2) AS ll, sum(load) AS l, count(*) AS b FROM s GROUP BY ALL), u AS (SELECT * FROM c JOIN s USING (event_type, branch)),
+t AS (SELECT event_type, site, sum(u) AS m, sum(u * load) / any_value(ll) AS d, sum(u * u) AS uu, count(*) FILTER (u >= 0.45) AS n, any_value(ll) AS ll, any_value(l) AS l, any_value(b) AS b FROM u JOIN g USING (event_type) GROUP BY ALL),
+v AS (SELECT *, (m - d * l) / b AS c, uu - d ** 2 * ll - b * ((m - d * l) / b) ** 2 AS nn FROM t WHERE n >= 2 AND m >= 1.1),
+a AS (SELECT u.*, n, d, c, ll, b, sqrt(greatest(0, nn)) AS norm FROM u JOIN v USING (event_type, site) WHERE nn > 1e-12),
+p AS (SELECT x.event_type, x.site AS a, y.site AS b, sum(x.u * y.u) AS dot, count(*) FILTER (x.u >= 0.45 AND y.u >= 0.45) AS together, sum(least(1, x.u, y.u)) FILTER (x.u >= 0.45 AND y.u >= 0.45) AS shared,
+  any_value(x.n) AS n1, any_value(y.n) AS n2, any_value(x.d * y.d * x.ll + x.b * x.c * y.c) AS off, any_value(x.norm * y.norm) AS norms FROM a x JOIN a y ON x.event_type = y.event_type AND x.branch = y.branch AND y.site > x.site + 2 GROUP BY ALL),
+q AS (SELECT *, (dot - off) / norms AS cosine FROM p WHERE together >= 2 AND shared >= 1.1),
+h AS (SELECT event_type, n1, n2, greatest(0.02, sum(least(1, n1 * share) * least(1, n2 * share))) AS expected FROM (SELECT DISTINCT event_type, n1, n2 FROM q WHERE cosine > 0.45) JOIN s USING (event_type) GROUP BY ALL)
+SELECT event_type, a, b, together, round(shared, 6) AS shared, round(cosine, 6) AS cosine, round(expected, 6) AS expected FROM q JOIN h USING (event_type, n1, n2) WHERE cosine > 0.45 AND together > 1.5 * expected""")
+def changing_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG21: users with events on the same days beyond what the days' loads explain."""
+    rows = table(spark, sf_dir, "events").groupBy("event_type", F.col("user_id").alias("site"), F.dayofyear("ts").alias("branch")).agg(F.sum("value").alias("v")).where("v > 0")
+    counts = rows.withColumn("u", F.least(F.lit(1.2), F.col("v") / 50)).drop("v")
+    lengths = counts.select("event_type", "branch").distinct().withColumn("length", F.lit(0.1))
+    found = lineages.changing_together(counts, lengths, ["event_type"])
+    return found.select("event_type", "a", "b", "together", *(F.round(c, 6).alias(c) for c in ("shared", "cosine", "expected")))
+
+
+@query()
+def silent_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN07 in full: stretches of each event type with next to no value; tests hold them against a plain scan."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") / 20).alias("alpha"), F.lit(0.0).alias("gap_fraction"))
+    return islands.silent_islands(rows, ["user_id"], site="event_id")
+
+
+@query()
+def error_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN12: runs of errors in each user's events, by the chain of error states; tests hold the chain against all paths."""
+    odds = table(spark, sf_dir, "events").select(F.lit("all").alias("gene"), F.col("user_id").alias("branch"), F.col("event_id").alias("site"), F.when(F.col("event_type") == "error", 20.0).otherwise(0.2).alias("odds"))
+    return islands.error_sinks(odds, ["gene"]).groupBy("branch").agg(F.first("log_z").alias("log_z"), F.first("flagged").alias("flagged"), F.sum("error").alias("error"))
+
+
 @query()
 def demo_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC19, SRC23, ANA01 for many genes: sixteen simulated genes, each fitted and scanned by the task that has it."""
