@@ -65,6 +65,14 @@ def _codon_pairs(code: GeneticCode) -> tuple[np.ndarray, ...]:
     return tuple(np.array(c) for c in zip(*out, strict=True))
 
 
+@lru_cache(8)
+def _codon_letters(code: GeneticCode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bases of each sense codon by number, how many places each two differ in, and whether they have one amino acid."""
+    letters = np.array([[BASES.index(b) for b in c] for c in code.sense])
+    amino = np.array(list(code.aa))
+    return letters, (letters[:, None, :] != letters[None, :, :]).sum(axis=2), amino[:, None] == amino[None, :]
+
+
 @dataclass
 class MG94:
     """Codon model of one-base steps: exchange rate x target frequency x alpha if synonymous, else beta."""
@@ -87,6 +95,22 @@ class MG94:
         syn, non = self.parts()
         return diagonal(alpha * syn + beta * non)
 
+    def multiple(self, alpha: float, beta: float, double: float = 0.0, triple: float = 0.0, pairs: np.ndarray | None = None) -> np.ndarray:
+        """The generator with steps of two and three bases at once: the product of their one-base rates times `double` or `triple`. pairs: factors of single synonymous steps."""
+        letters, places, same = _codon_letters(self.code)
+        exchange = np.ones((4, 4))
+        exchange[np.triu_indices(4, 1)] = self.rates
+        exchange = np.triu(exchange, 1) + np.triu(exchange, 1).T
+        q = np.ones((self.code.size, self.code.size))
+        for k in range(3):
+            step = exchange * self.positions[k][None, :]
+            np.fill_diagonal(step, 1.0)
+            q *= step[letters[:, k][:, None], letters[:, k][None, :]]
+        q *= np.array([0.0, 1.0, double, triple])[places] * np.where(same, alpha, beta)
+        if pairs is not None:
+            q *= np.where((places == 1) & same, pairs, 1.0)
+        return diagonal(q)
+
     def scale(self, omega: float = 1.0) -> float:
         """Expected substitutions of a codon in a unit of time."""
         return float(-(self.pi @ np.diag(self.generator(1.0, omega))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clademill.analyses import genes
+from clademill.analyses import genes, mixtures
 from clademill.analyses.simulate import DEMO_TREE, simulate
 from clademill.operators import branches, islands, lineages
 from clademill.queries.registry import query, table
@@ -147,3 +147,19 @@ def demo_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC19, SRC23, ANA01 for many genes: sixteen simulated genes, each fitted and scanned by the task that has it."""
     rows = [(f"gene{k}", simulate(seed=100 + k), DEMO_TREE) for k in range(16)]
     return genes.fel_genes(spark.createDataFrame(rows, "dataset_id string, alignment string, tree string"))
+
+
+def _sixteen(spark: SparkSession, codons: int = 24) -> DataFrame:
+    return spark.createDataFrame([(f"gene{k}", simulate(codons=codons, seed=200 + k), DEMO_TREE) for k in range(16)], "dataset_id string, alignment string, tree string")
+
+
+@query()
+def demo_busted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ANA07: sixteen simulated genes with rates that vary, steps of two and three bases and an error sink; classes by AICc."""
+    return mixtures.busted_genes(_sixteen(spark), mixtures.Parts(2, 3, 3, 0.01), most=3)
+
+
+@query()
+def demo_phenotype(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ANA08: the same genes with the branches to a, b and c as those of a phenotype."""
+    return mixtures.phenotype_genes(_sixteen(spark), "a,b,c", mixtures.Parts(2))
