@@ -66,7 +66,7 @@ def _codon_pairs(code: GeneticCode) -> tuple[np.ndarray, ...]:
 
 
 @lru_cache(8)
-def _codon_letters(code: GeneticCode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def codon_letters(code: GeneticCode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bases of each sense codon by number, how many places each two differ in, and whether they have one amino acid."""
     letters = np.array([[BASES.index(b) for b in c] for c in code.sense])
     amino = np.array(list(code.aa))
@@ -97,7 +97,7 @@ class MG94:
 
     def multiple(self, alpha: float, beta: float, double: float = 0.0, triple: float = 0.0, pairs: np.ndarray | None = None) -> np.ndarray:
         """The generator with steps of two and three bases at once: the product of their one-base rates times `double` or `triple`. pairs: factors of single synonymous steps."""
-        letters, places, same = _codon_letters(self.code)
+        letters, places, same = codon_letters(self.code)
         exchange = np.ones((4, 4))
         exchange[np.triu_indices(4, 1)] = self.rates
         exchange = np.triu(exchange, 1) + np.triu(exchange, 1).T

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clademill.analyses import genes, mixtures
+from clademill.analyses import genes, mixtures, preferences, property_scan
 from clademill.analyses.simulate import DEMO_TREE, simulate
 from clademill.operators import branches, islands, lineages
 from clademill.queries.registry import query, table
+from clademill.queries.sequences import demo
 from clademill.sources import tables
 
 KEY = b"a key of the day"
@@ -163,3 +164,26 @@ def demo_busted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def demo_phenotype(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ANA08: the same genes with the branches to a, b and c as those of a phenotype."""
     return mixtures.phenotype_genes(_sixteen(spark), "a,b,c", mixtures.Parts(2))
+
+
+@query()
+def demo_informed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ANA15: each site's omega given preferences: half for the commonest amino acid of the site, the rest even."""
+    data = demo(spark)
+    model = data.fit()
+    amino = F.element_at(F.array(*map(F.lit, data.code.aa)), F.col("state") + 1)
+    known = data.sites().where("state >= 0").withColumn("aa", amino).groupBy("site", "aa").agg(F.count(F.lit(1)).alias("n")).groupBy("site").agg(F.max_by("aa", F.struct("n", "aa")).alias("top"))
+    letters = F.array(*map(F.lit, property_scan.AMINO))
+    share = F.map_from_entries(F.transform(letters, lambda a: F.struct(a, F.when(a == F.col("top"), 0.525).otherwise(0.025))))
+    prefs = known.select((F.col("site") + 1).alias("site"), share.alias("preferences"))
+    informed, _ = preferences.fit_informed(data, model, prefs)
+    return preferences.scan_informed(data, informed, prefs)
+
+
+@query()
+def demo_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ANA22: the log-fitness of each amino acid at each site, from rates and weights of the property scan."""
+    data = demo(spark)
+    model = data.fit()
+    sites = property_scan.property_scan(data, model)
+    return preferences.amino_rows(preferences.forecast(data, model, sites, reference="a"))
