@@ -206,7 +206,7 @@ GENES = "dataset_id string, lnl double, lnl_null double, lrt double, p_value dou
 PHENOTYPES = "dataset_id string, lnl double, lrt double, p_value double, background_lrt double, background_p double, shared_lrt double, shared_p double, union_p double, omegas array<double>, shares array<double>, background_omegas array<double>, background_shares array<double>, error string"
 
 
-def _each_gene(genes: DataFrame, test: Callable[[Model, pd.DataFrame], dict], schema: str, branches: str, genetic_code: str | int, quick: bool, tasks: int | None) -> DataFrame:
+def each_gene(genes: DataFrame, test: Callable[[Model, pd.DataFrame], dict], schema: str, branches: str, genetic_code: str | int, quick: bool, tasks: int | None) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,9 +230,9 @@ def _each_gene(genes: DataFrame, test: Callable[[Model, pd.DataFrame], dict], sc
 def busted_genes(genes: DataFrame, parts: Parts = Parts(), *, most: int = 0, branches: str = "All", genetic_code: str | int = "Universal", quick: bool = False, steps: int = 40, tasks: int | None = None) -> DataFrame:  # noqa: B008
     """A row for each gene of (dataset_id, alignment, tree), with `most` classes at most by AICc, or parts.classes where it is 0. A gene that can't be fitted has its error."""
     test = (lambda m, p: busted_by_classes(m, p, parts, most, steps=steps)) if most else (lambda m, p: busted(m, p, parts, steps=steps))
-    return _each_gene(genes, test, GENES, branches, genetic_code, quick, tasks)
+    return each_gene(genes, test, GENES, branches, genetic_code, quick, tasks)
 
 
 def phenotype_genes(genes: DataFrame, branches: str, parts: Parts = Parts(), *, genetic_code: str | int = "Universal", quick: bool = False, steps: int = 40, tasks: int | None = None) -> DataFrame:  # noqa: B008
     """busted_ph of each gene, with the branches that `branches` names as the tested ones."""
-    return _each_gene(genes, lambda m, p: busted_ph(m, p, m.tested, parts, steps), PHENOTYPES, branches, genetic_code, quick, tasks)
+    return each_gene(genes, lambda m, p: busted_ph(m, p, m.tested, parts, steps), PHENOTYPES, branches, genetic_code, quick, tasks)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clademill.analyses import genes, mixtures, preferences, property_scan
+from clademill.analyses import genes, mixtures, preferences, property_scan, synonymous
 from clademill.analyses.simulate import DEMO_TREE, simulate
 from clademill.operators import branches, islands, lineages
 from clademill.queries.registry import query, table
 from clademill.queries.sequences import demo
+from clademill.model.codes import code
 from clademill.sources import tables
 
 KEY = b"a key of the day"
@@ -187,3 +188,10 @@ def demo_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = data.fit()
     sites = property_scan.property_scan(data, model)
     return preferences.amino_rows(preferences.forecast(data, model, sites, reference="a"))
+
+
+@query()
+def demo_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ANA14: synonymous transitions against transversions in sixteen genes, and their rates over all of them."""
+    pairs = [(a, b, "transition" if {x for p in zip(a, b, strict=True) if p[0] != p[1] for x in p} in ({"A", "G"}, {"C", "T"}) else "transversion", None) for a, b in tables.synonymous_pairs(code())]
+    return synonymous.rates_over_genes(synonymous.class_genes(_sixteen(spark), pairs))
