@@ -110,24 +110,24 @@ def lost_constraint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT event_type, user_id AS site, dayofyear(ts) AS branch, least(1.2, sum(value) / 50) AS u FROM events GROUP BY ALL HAVING sum(value) > 0),
-l AS (SELECT event_type, branch, greatest(1e-4, 0.25 * 0.1 + sum(u)) AS load FROM c GROUP BY ALL), s AS (SELECT *, load / sum(load) OVER (PARTITION BY event_type) AS share FROM l),
-g AS (SELECT event_type, sum(load ** 2) AS ll, sum(load) AS l, count(*) AS b FROM s GROUP BY ALL), u AS (SELECT * FROM c JOIN s USING (event_type, branch)),
-t AS (SELECT event_type, site, sum(u) AS m, sum(u * load) / any_value(ll) AS d, sum(u * u) AS uu, count(*) FILTER (u >= 0.45) AS n, any_value(ll) AS ll, any_value(l) AS l, any_value(b) AS b FROM u JOIN g USING (event_type) GROUP BY ALL),
+WITH c AS (SELECT user_id, hour(ts) AS site, dayofyear(ts) % 31 AS branch, least(1.2, sum(value) / 50) AS u FROM events GROUP BY ALL HAVING sum(value) > 0),
+l AS (SELECT user_id, branch, greatest(1e-4, 0.25 * 0.1 + sum(u)) AS load FROM c GROUP BY ALL), s AS (SELECT *, load / sum(load) OVER (PARTITION BY user_id) AS share FROM l),
+g AS (SELECT user_id, sum(load ** 2) AS ll, sum(load) AS l, count(*) AS b FROM s GROUP BY ALL), u AS (SELECT * FROM c JOIN s USING (user_id, branch)),
+t AS (SELECT user_id, site, sum(u) AS m, sum(u * load) / any_value(ll) AS d, sum(u * u) AS uu, count(*) FILTER (u >= 0.45) AS n, any_value(ll) AS ll, any_value(l) AS l, any_value(b) AS b FROM u JOIN g USING (user_id) GROUP BY ALL),
 v AS (SELECT *, (m - d * l) / b AS c, uu - d ** 2 * ll - b * ((m - d * l) / b) ** 2 AS nn FROM t WHERE n >= 2 AND m >= 1.1),
-a AS (SELECT u.*, n, d, c, ll, b, sqrt(greatest(0, nn)) AS norm FROM u JOIN v USING (event_type, site) WHERE nn > 1e-12),
-p AS (SELECT x.event_type, x.site AS a, y.site AS b, sum(x.u * y.u) AS dot, count(*) FILTER (x.u >= 0.45 AND y.u >= 0.45) AS together, sum(least(1, x.u, y.u)) FILTER (x.u >= 0.45 AND y.u >= 0.45) AS shared,
-  any_value(x.n) AS n1, any_value(y.n) AS n2, any_value(x.d * y.d * x.ll + x.b * x.c * y.c) AS off, any_value(x.norm * y.norm) AS norms FROM a x JOIN a y ON x.event_type = y.event_type AND x.branch = y.branch AND y.site > x.site + 2 GROUP BY ALL),
+a AS (SELECT u.*, n, d, c, ll, b, sqrt(greatest(0, nn)) AS norm FROM u JOIN v USING (user_id, site) WHERE nn > 1e-12),
+p AS (SELECT x.user_id, x.site AS a, y.site AS b, sum(x.u * y.u) AS dot, count(*) FILTER (x.u >= 0.45 AND y.u >= 0.45) AS together, sum(least(1, x.u, y.u)) FILTER (x.u >= 0.45 AND y.u >= 0.45) AS shared,
+  any_value(x.n) AS n1, any_value(y.n) AS n2, any_value(x.d * y.d * x.ll + x.b * x.c * y.c) AS off, any_value(x.norm * y.norm) AS norms FROM a x JOIN a y ON x.user_id = y.user_id AND x.branch = y.branch AND y.site > x.site + 2 GROUP BY ALL),
 q AS (SELECT *, (dot - off) / norms AS cosine FROM p WHERE together >= 2 AND shared >= 1.1),
-h AS (SELECT event_type, n1, n2, greatest(0.02, sum(least(1, n1 * share) * least(1, n2 * share))) AS expected FROM (SELECT DISTINCT event_type, n1, n2 FROM q WHERE cosine > 0.45) JOIN s USING (event_type) GROUP BY ALL)
-SELECT event_type, a, b, together, round(shared, 6) AS shared, round(cosine, 6) AS cosine, round(expected, 6) AS expected FROM q JOIN h USING (event_type, n1, n2) WHERE cosine > 0.45 AND together > 1.5 * expected""")
+h AS (SELECT user_id, n1, n2, greatest(0.02, sum(least(1, n1 * share) * least(1, n2 * share))) AS expected FROM (SELECT DISTINCT user_id, n1, n2 FROM q WHERE cosine > 0.45) JOIN s USING (user_id) GROUP BY ALL)
+SELECT user_id, a, b, together, round(shared, 6) AS shared, round(cosine, 6) AS cosine, round(expected, 6) AS expected FROM q JOIN h USING (user_id, n1, n2) WHERE cosine > 0.45 AND together > 1.5 * expected""")
 def changing_together(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG21: users with events on the same days beyond what the days' loads explain."""
-    rows = table(spark, sf_dir, "events").groupBy("event_type", F.col("user_id").alias("site"), F.dayofyear("ts").alias("branch")).agg(F.sum("value").alias("v")).where("v > 0")
+    """AGG21: hours of a user's day that go together beyond what the days (modulo 31) explain; a user has 24 hours at most, as a gene has its sites."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id", F.hour("ts").cast("long").alias("site"), (F.dayofyear("ts") % 31).cast("long").alias("branch")).agg(F.sum("value").alias("v")).where("v > 0")
     counts = rows.withColumn("u", F.least(F.lit(1.2), F.col("v") / 50)).drop("v")
-    lengths = counts.select("event_type", "branch").distinct().withColumn("length", F.lit(0.1))
-    found = lineages.changing_together(counts, lengths, ["event_type"])
-    return found.select("event_type", "a", "b", "together", *(F.round(c, 6).alias(c) for c in ("shared", "cosine", "expected")))
+    lengths = counts.select("user_id", "branch").distinct().withColumn("length", F.lit(0.1))
+    found = lineages.changing_together(counts, lengths, ["user_id"])
+    return found.select("user_id", "a", "b", "together", *(F.round(c, 6).alias(c) for c in ("shared", "cosine", "expected")))
 
 
 @query()
