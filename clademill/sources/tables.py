@@ -161,7 +161,7 @@ METHODS = "fel meme fubar slac absrel busted relax prime gard contrast-fel mss".
 
 
 def detect_method(doc: Column) -> Column:
-    """struct(method, format) of a result document (JSON text): by its id, by its information text, else by its layout. Newer documents are v3; older ones hyphy25 or hyphy3-legacy by their run time and version."""
+    """struct(method, format) of a result document (JSON text): by its id, by its information text, else by its layout. Newer documents are v3; older ones v2 or v3-legacy by their run time and version."""
     at = lambda path: F.get_json_object(doc, path)
     has = lambda path: at(path).isNotNull()
     ident, info = F.lower(at("$.analysis.id")), at("$.analysis.info")
@@ -177,7 +177,7 @@ def detect_method(doc: Column) -> Column:
         .when(names.rlike(r'"[^"]*beta[^"]*(\+|plus)'), "meme").when(names.contains('"alpha=beta"'), "fel")
     )
     runtime, version = at("$.runtime"), F.coalesce(at("$.analysis.version"), F.lit(""))
-    old = F.when(runtime.startswith("2."), "hyphy25").when(runtime.isNotNull() | version.contains("next") | version.startswith("3.") | (info.isNotNull() & ~F.coalesce(info, F.lit("")).contains("\n")), "hyphy3-legacy").otherwise("hyphy25")
+    old = F.when(runtime.startswith("2."), "v2").when(runtime.isNotNull() | version.contains("next") | version.startswith("3.") | (info.isNotNull() & ~F.coalesce(info, F.lit("")).contains("\n")), "v3-legacy").otherwise("v2")
     alias = F.when(ident.isin("contrast_fel", "contrastfel"), "contrast-fel").when(ident.isin("directional-fel", "directional_fel"), "dfel").otherwise(ident)
     return F.struct(F.when(ident.isNotNull(), alias).otherwise(F.coalesce(by_info, layout)).alias("method"), F.when(ident.isNotNull(), F.lit("v3")).otherwise(old).alias("format"))
 

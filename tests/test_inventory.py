@@ -92,7 +92,7 @@ def test_result_documents(spark):
     df = spark.createDataFrame([(k, json.dumps(v)) for k, v in docs.items()], "name string, doc string")
     got = {r.name: (r.m.method, r.m.format) for r in df.select("name", tables.detect_method(df.doc).alias("m")).collect()}
     assert {k: v[0] for k, v in got.items()} == {**{k: k for k in docs}, "v3": "meme", "none": None, "old": "fel"}
-    assert got["v3"][1] == "v3" and got["fel"][1] == "hyphy25" and got["dfel"][1] == "hyphy3-legacy" and got["old"][1] == "hyphy25"
+    assert got["v3"][1] == "v3" and got["fel"][1] == "v2" and got["dfel"][1] == "v3-legacy" and got["old"][1] == "v2"
     doc = json.dumps({"MLE": {"headers": [["alpha", "rate"], ["beta", "rate"]], "content": {"0": [[1.0, 2.0], [3.0, 4.0]]}}})
     rows = tables.result_rows(spark.createDataFrame([("d", doc)], "id string, doc string"), "id", "doc").collect()
     assert sorted((r.partition, r.site, r.column, r.value) for r in rows) == [("0", 1, "alpha", 1.0), ("0", 1, "beta", 2.0), ("0", 2, "alpha", 3.0), ("0", 2, "beta", 4.0)]
