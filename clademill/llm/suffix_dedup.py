@@ -14,6 +14,8 @@ only suffixes whose seeds begin alike need to be compared.
    Seeds of a key are induced in arrays while they are few. Those of a key with many go through queues on disk, one for each byte to the left: a pass over the tuples in
    their order deals them out with the least prefix value since the last one of the same byte, and each queue is induced in turn, by the same pass or, once it is
    small, in arrays. So a task holds CHUNK seeds, however many a key has.
+
+The same goes for strings of words: WORDS words, each as a code of WORD bytes, are a string of LENGTH bytes.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clademill.llm import bitmap
+from clademill.llm.context_mix import hash_words, word_edges
 from clademill.llm.common import carried_schema, carried_struct, map_batches, materialise
 
 LENGTH, REACH = 400, 250
@@ -38,6 +41,9 @@ LENGTH, REACH = 400, 250
 SHARED = LENGTH - REACH
 #: Seed suffixes that are induced together in arrays.
 CHUNK = 20_000
+#: Bytes of a word's code, and words of a repeated string where strings are of words.
+WORD = 8
+WORDS = LENGTH // WORD
 #: Bytes whose seeds are sought together; longer texts are cut into overlapping parts.
 PART = 1 << 20
 NO_ID = -(1 << 63)
@@ -94,10 +100,32 @@ def _keys(joined: bytes, seed: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(view[a : a + SHARED]) for a in seed.tolist()), np.uint64, len(seed)).view(np.int64)
 
 
-def _repeated_keys(rows: DataFrame) -> DataFrame:
+def in_bytes(texts: list[str]) -> list[bytes]:
+    return [t.encode() for t in texts]
+
+
+def in_words(texts: list[str]) -> list[bytes]:
+    """Each text as the codes of its words."""
+    raws = in_bytes(texts)
+    joined = b"\n".join(raws)
+    start, end = word_edges(joined)
+    codes = hash_words(joined, start, end).astype("<u8").tobytes()
+    bounds = WORD * np.searchsorted(start, np.cumsum([0, *(len(r) + 1 for r in raws)]))
+    return [codes[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+def word_runs(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of codes as runs of the text's bytes. A code of which a run has a part is a word that differs: codes may begin or end alike."""
+    if not runs:
+        return []
+    start, end = word_edges(raw)
+    return [(int(start[-(-a // WORD)]), int(end[b // WORD - 1])) for a, b in runs]
+
+
+def _repeated_keys(rows: DataFrame, coded=in_bytes) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some, _, _ in parts([t.encode() for t in batch.column(0).to_pylist()]):
+            for some, _, _ in parts(coded(batch.column(0).to_pylist())):
                 joined, _, _, seed, _, _ = seeds(some)
                 keys, n = np.unique(_keys(joined, seed), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.minimum(n, 2).astype(np.int32), pa.int32())], ["key", "n"])
@@ -130,10 +158,10 @@ def contexts(raws: list[bytes], ids: np.ndarray, hashes: np.ndarray, wanted=None
         )
 
 
-def _contexts(rows: DataFrame, wanted) -> DataFrame:
+def _contexts(rows: DataFrame, wanted, coded=in_bytes) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from contexts([t.encode() for t in batch.column(2).to_pylist()], batch.column(0).to_numpy(), batch.column(1).to_numpy(), wanted.value)
+            yield from contexts(coded(batch.column(2).to_pylist()), batch.column(0).to_numpy(), batch.column(1).to_numpy(), wanted.value)
 
     return map_batches(rows.select("id", "hash", "text"), run, CONTEXTS)
 
@@ -357,12 +385,12 @@ def induced(batches: Iterable[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[p
     yield from out.ready(1)
 
 
-def repeated_spans(rows: DataFrame, *, partitions: int | None = None) -> DataFrame:
-    """(id, hash, spans) from (id, hash, text): byte spans covered by repeated strings, as they were found (they may overlap)."""
+def repeated_spans(rows: DataFrame, *, partitions: int | None = None, coded=in_bytes) -> DataFrame:
+    """(id, hash, spans) from (id, hash, text): spans of the coded texts covered by repeated strings, as they were found (they may overlap)."""
     spark = rows.sparkSession
-    wanted = spark.sparkContext.broadcast(bitmap.bitmap(materialise(_repeated_keys(rows), "sd-keys"), hashed=True))
+    wanted = spark.sparkContext.broadcast(bitmap.bitmap(materialise(_repeated_keys(rows, coded), "sd-keys"), hashed=True))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = _contexts(rows, wanted).repartition(n, "key").sortWithinPartitions("key", "right", "left")
+    ordered = _contexts(rows, wanted, coded).repartition(n, "key").sortWithinPartitions("key", "right", "left")
     found = map_batches(ordered, induced, SPANS)
     return found.groupBy("id", "hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
@@ -377,29 +405,36 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Removes each byte of a string of LENGTH bytes that begins anywhere else too.
+def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), words: bool = False) -> DataFrame:
+    """Removes each byte of a string of LENGTH bytes that begins anywhere else too; with `words`, of a string of WORDS words too, whatever the white space between them, from its first word to its last.
 
-    One row for each row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left), text (the whole characters among them), and `carried`, a struct of the columns named in carry, if any. Texts are UTF-8, null ones empty; a cut may part a character. Every row is a document, so
+    One row for each row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left), text (the whole characters among them), with `words` also emptied (whether strings of bytes alone leave nothing), and `carried`, a struct of the columns named in carry, if any. Texts are UTF-8, null ones empty; a cut may part a character. Every row is a document, so
     of repeated rows of LENGTH bytes or more nothing is left. A null identifier is an identifier like others. Empty input gives no rows; long texts are taken in parts. Other columns are not read. Shuffled: a key for each
-    seed, the seed suffixes that may repeat, and the texts once. A task holds CHUNK contexts at a time."""
+    seed, the seed suffixes that may repeat (with `words`, those of the codes as well), and the texts once. A task holds CHUNK contexts at a time."""
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     spans = materialise(repeated_spans(rows), "sd-spans")
+    if words:
+        spans = spans.join(materialise(repeated_spans(rows, coded=in_words), "sd-words").withColumnRenamed("spans", "coded"), ["id", "hash"], "full")
+    else:
+        spans = spans.withColumn("coded", F.lit(None).cast(spans.schema["spans"].dataType))
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"), *carried_struct(docs, carry))
 
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), *[pa.bool_()] * words]
+
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for doc, text, found, codes in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 raw = text.encode()
                 runs = merged(found or [])
+                emptied = bool(raw) and runs == [(0, len(raw))]
+                runs = merged([*(found or []), *({"start": a, "end": b} for a, b in word_runs(raw, merged(codes or [])))])
                 ends = [0, *(b for _, b in runs)]
                 kept = b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in runs), len(raw)], strict=True))
-                out.append((None if doc == NO_ID else doc, len(raw), len(raw) - len(kept), len(runs), kept, kept.decode(errors="ignore")))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)] + batch.columns[3:], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text", *["carried"] * bool(carry)])
+                out.append((None if doc == NO_ID else doc, len(raw), len(raw) - len(kept), len(runs), kept, kept.decode(errors="ignore"), emptied)[: len(kinds)])
+            cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)] + batch.columns[4:], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text", *["emptied"] * words, *["carried"] * bool(carry)])
 
-    joined = rows.join(spans, ["id", "hash"], "left").select("id", "text", "spans", *["carried"] * bool(carry))
-    return map_batches(joined, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text string" + carried_schema(joined))
+    joined = rows.join(spans, ["id", "hash"], "left").select("id", "text", "spans", "coded", *["carried"] * bool(carry))
+    return map_batches(joined, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text string" + ", emptied boolean" * words + carried_schema(joined))
