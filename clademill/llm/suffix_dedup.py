@@ -405,10 +405,10 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), words: bool = False) -> DataFrame:
-    """Removes each byte of a string of LENGTH bytes that begins anywhere else too; with `words`, of a string of WORDS words too, whatever the white space between them, from its first word to its last.
+def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), words: str = "") -> DataFrame:
+    """Removes each byte of a string of LENGTH bytes that begins anywhere else too; where words is "cut", of a string of WORDS words too, whatever the white space between them, from its first word to its last. Where it is "count", words of such strings are only counted.
 
-    One row for each row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left), text (the whole characters among them), with `words` also emptied (whether strings of bytes alone leave nothing), and `carried`, a struct of the columns named in carry, if any. Texts are UTF-8, null ones empty; a cut may part a character. Every row is a document, so
+    One row for each row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left), text (the whole characters among them), with `words` also emptied (whether strings of bytes alone leave nothing) and n_words (words of repeated strings of words), and `carried`, a struct of the columns named in carry, if any. Texts are UTF-8, null ones empty; a cut may part a character. Every row is a document, so
     of repeated rows of LENGTH bytes or more nothing is left. A null identifier is an identifier like others. Empty input gives no rows; long texts are taken in parts. Other columns are not read. Shuffled: a key for each
     seed, the seed suffixes that may repeat (with `words`, those of the codes as well), and the texts once. A task holds CHUNK contexts at a time."""
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -420,7 +420,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         spans = spans.withColumn("coded", F.lit(None).cast(spans.schema["spans"].dataType))
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"), *carried_struct(docs, carry))
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), *[pa.bool_()] * words]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), *([pa.bool_(), pa.int64()] if words else [])]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -429,12 +429,14 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 raw = text.encode()
                 runs = merged(found or [])
                 emptied = bool(raw) and runs == [(0, len(raw))]
-                runs = merged([*(found or []), *({"start": a, "end": b} for a, b in word_runs(raw, merged(codes or [])))])
+                codes = merged(codes or [])
+                if words == "cut":
+                    runs = merged([*(found or []), *({"start": a, "end": b} for a, b in word_runs(raw, codes))])
                 ends = [0, *(b for _, b in runs)]
                 kept = b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in runs), len(raw)], strict=True))
-                out.append((None if doc == NO_ID else doc, len(raw), len(raw) - len(kept), len(runs), kept, kept.decode(errors="ignore"), emptied)[: len(kinds)])
+                out.append((None if doc == NO_ID else doc, len(raw), len(raw) - len(kept), len(runs), kept, kept.decode(errors="ignore"), emptied, sum(b // WORD - -(-a // WORD) for a, b in codes))[: len(kinds)])
             cols = list(zip(*out, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)] + batch.columns[4:], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text", *["emptied"] * words, *["carried"] * bool(carry)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)] + batch.columns[4:], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text", *(["emptied", "n_words"] if words else []), *["carried"] * bool(carry)])
 
     joined = rows.join(spans, ["id", "hash"], "left").select("id", "text", "spans", "coded", *["carried"] * bool(carry))
-    return map_batches(joined, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text string" + ", emptied boolean" * words + carried_schema(joined))
+    return map_batches(joined, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text string" + ", emptied boolean, n_words long" * bool(words) + carried_schema(joined))

@@ -472,6 +472,17 @@ def test_suffix_query(spark, real):
     assert all(r.repeats == (r.n_removed > 0) and r.n_kept == r.n_bytes - r.n_removed for r in got)
 
 
+def test_suffix_query_counts_words_of_repeated_passages(spark, real):
+    """Passages of over 50 words that are shorter than 400 bytes are no repeated strings of the digest, but they are counted."""
+    texts = {i: re.findall(r"[^\x20\x09-\x0D]+", t) for i, t in real.items()}
+    count = Counter(tuple(w[k : k + 50]) for w in texts.values() for k in range(len(w) - 49))
+    got = {r.doc_id: r for r in queries.op8_suffix_dedup(spark, DATA).collect()}
+    for i, w in texts.items():
+        covered = {j for k in range(len(w) - 49) if count[tuple(w[k : k + 50])] > 1 for j in range(k, k + 50)}
+        assert (got[i].n_passage_words, got[i].passages) == (len(covered), bool(covered))
+    assert any(r.passages and not r.repeats for r in got.values())
+
+
 def test_suffix_queues_on_disk_equal_arrays_and_brute_force():
     """Seeds of a key beyond the number for arrays go through queues on disk; long texts are cut into parts. A licence between random bytes gives keys with many contexts."""
     rng = random.Random(1)
