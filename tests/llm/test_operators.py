@@ -295,6 +295,39 @@ def test_packing(spark, docs):
     assert packing.pack_documents(nasty.empty(spark), JSON).count() == 0
 
 
+def test_every_context_that_another_training_document_has_is_matched(spark):
+    """Short shared passages, documents that come together and part, copies: wherever the last words occur in another training document there is a guess, with no place left out between anchors."""
+    rng = random.Random(8)
+    base = [f"t{rng.randint(0, 500)}" for _ in range(300)]
+    docs = []
+    for k in range(40):
+        text = [f"d{k}_{j}" for j in range(rng.randint(0, 9))]
+        for j in range(rng.randint(1, 5)):
+            a = rng.randint(0, 280)
+            text += [*base[a : a + rng.randint(7, 25)], f"e{k}_{j}"]
+        docs.append((k, k % 3 == 0, text))
+    docs += [(40, False, docs[1][2]), (41, True, docs[2][2])]
+    vocab = context_mix.Vocabulary([b""], np.array([1]), 1, 1, 1)
+    shared = spark.sparkContext.broadcast(vocab)
+    rows = spark.createDataFrame([(k, k * 7, " ".join(t), h) for k, h, t in docs], "id long, hash long, text string, held boolean").repartition(4)
+    sets = spark.sparkContext.broadcast(context_mix.branches(rows, shared, 2000))
+    ordered = context_mix.places(rows, shared, sets).repartition(3, "kind", "key").sortWithinPartitions("kind", "key", "held", "deal", "id", "hash", "pos")
+    guessed = defaultdict(set)
+    for r in context_mix.matches(ordered).where("kind = 0").collect():
+        guessed[r.id] |= set(range(r.pos, r.pos + r.right + r.failed))
+    having = defaultdict(set)
+    for k, held, t in docs:
+        for a in range(6, len(t) + 1):
+            having[tuple(t[a - 6 : a])] |= set() if held else {k}
+    n = 0
+    for k, _, t in docs:
+        for a in range(6, len(t) + 1):
+            if having[tuple(t[a - 6 : a])] - {k}:
+                n += 1
+                assert a in guessed[k]
+    assert n > 500
+
+
 def test_packing_query_gives_added_tokens_their_ids(spark, tmp_path):
     from tokenizers import Tokenizer
 
