@@ -643,3 +643,62 @@ def test_components(spark):
 def test_pattern_classes():
     for text in ("it's ²½ x y_z ÀÉ\x85 ok", "Ωmega  　x ٣ⅷ"):
         assert bpe.splitter(text, bpe.STANDARD).findall(text) == regex.findall(public_tokenizers.PATTERN, text)
+
+
+def test_lm_anchors_are_sorted_by_key_first(spark, monkeypatch):
+    """Spark compares rows by the first sort column's prefix alone where these differ; by kind first, nearly all are equal and whole rows are compared."""
+    plans = []
+    real = context_mix.matches
+
+    def spy(found, **options):
+        plans.append(found._jdf.queryExecution().sparkPlan().toString())
+        return real(found, **options)
+
+    monkeypatch.setattr(context_mix, "matches", spy)
+    assert context_mix.lm_scores(spark.createDataFrame([(k, "a b c d e f g h") for k in range(4)], "doc_id long, text string")).count() == 4
+    assert len(plans) == 1 and re.search(r"Sort \[key#", plans[0])
+
+
+def test_lm_stretches_cost_only_the_documents_that_go_on(monkeypatch):
+    """Of one long document among many short ones, each has the score that it has alone, and no step works on all of them."""
+    rng = np.random.default_rng(6)
+    tables = context_mix.logits([rng.integers(0, 50, (n, 2)) for n in context_mix.table_sizes()])
+    sizes = [3, 40, 0, 32 * 20, *rng.integers(0, 90, 60).tolist()]
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    n = len(doc)
+    kind = rng.integers(0, 3, n)
+    slots = [kind * context_mix.STATES + rng.integers(0, 32, n), *((kind << context_mix.SLOT_BITS) + rng.integers(0, 1 << context_mix.SLOT_BITS, n) for _ in range(2))]
+    bit = rng.integers(0, 2, n).astype(np.int8)
+
+    def score(some, which):
+        return context_mix.score_bits(context_mix.Bits(which, kind[some], bit[some], [s[some] for s in slots], np.zeros(0, bool)), tables, int(which.max(initial=0)) + 1 if len(some) < n else len(sizes))
+
+    sums = []
+    real = np.bincount
+
+    def spy(x, weights=None, minlength=0):
+        out = real(x, weights, minlength)
+        sums.append(len(out))
+        return out
+
+    monkeypatch.setattr(np, "bincount", spy)
+    together = score(np.arange(n), doc)
+    monkeypatch.undo()
+    assert sum(sums) < 20 * len(sizes) * context_mix.KINDS * context_mix.LEVELS
+    for d in range(len(sizes)):
+        some = np.flatnonzero(doc == d)
+        assert together[d] == score(some, np.zeros(len(some), np.int64))[0]
+
+
+def test_lm_matches_packed_are_the_same(spark):
+    """Packed, a document has one row for many anchors, with the same numbers."""
+    rng = random.Random(2)
+    base = [f"t{rng.randint(0, 90)}" for _ in range(200)]
+    texts = [" ".join([f"d{k}", *base[a : a + 60]]) for k, a in enumerate(rng.randint(0, 140) for _ in range(20))]
+    vocab = context_mix.Vocabulary([b""], np.array([1]), 1, 1, 1)
+    rows = spark.createDataFrame([(k, k * 7 - 50, t, k % 4 == 0) for k, t in enumerate([*texts, texts[3]])], "id long, hash long, text string, held boolean").repartition(4)
+    ordered = context_mix.places(rows, spark.sparkContext.broadcast(vocab)).repartition(3, "kind", "key").sortWithinPartitions("key", "kind", "held", "deal", "id", "hash", "pos")
+    flat = {(r.id, r.hash, r.pos, r.right, int(r.failed), r.wrong, r.agree) for r in context_mix.matches(ordered).where("kind = 0").collect()}
+    packed = context_mix.matches(ordered, packed=True).where("kind = 0").collect()
+    assert {(r.id, r.hash, *x) for r in packed for x in np.frombuffer(r.tables, "<u4").reshape(-1, 5).tolist()} == flat
+    assert len(packed) < len(flat) / 2
