@@ -3,9 +3,11 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 from tests.compare import same, views
 
 from clademill import catalogue
+from clademill.operators import joins as J
 
 
 @pytest.fixture
@@ -33,3 +35,21 @@ def test_kmer_jaccard_of_odd_texts(spark, tables):
     texts = [None, "", "abcdefghijk", "abcdefghijkl", "abcdefghijklm𝄞o", "𝄞" * 15, "𝄞" * 12 + "\n\r " * 9, "\n" * 40, "ab\n" * 9, "ab\n" * 8 + "c"]
     path = tables(documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert not same(catalogue.QUERIES["kmer_jaccard"](spark, path), views(path), catalogue.ORACLE_SQL["kmer_jaccard"])
+
+
+def test_range_join_makes_rows_that_files_keep_small(spark, tmp_path):
+    points = spark.range(40000).selectExpr("id * 7919 % 1000003 as point", "id * 31 % 100 as day", "if(id % 9 = 0, null, id) as other")
+    spans = spark.range(300).selectExpr("id as span", "id % 70 as s", "id % 70 + 29 as e")
+    J.range_join(points, spans, "day", "s", "e", 64).select("point", "span").write.parquet(f"{tmp_path}/out")
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert found.count() == 400 * 30 * 300 and found.exceptAll(points.join(spans, F.expr("day between s and e")).select("point", "span")).isEmpty()
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 1000000
+
+
+def test_range_join_keeps_every_column_and_row(spark):
+    points = spark.createDataFrame([(1, None, "a"), (2, -3, None), (3, 5, "c"), (3, 5, "c"), (4, 70, "d"), (5, 71, "e")], "point long, day long, other string")
+    spans = spark.createDataFrame([(1, -3, 70), (2, 5, 5), (3, 6, 4), (4, None, 9), (2, 5, 5)], "span long, s long, e long")
+    found = J.range_join(points, spans, "day", "s", "e", 8)
+    assert found.columns == ["point", "day", "other", "span", "s", "e"]
+    assert sorted(found.collect(), key=repr) == sorted(points.join(spans, F.expr("day between s and e")).collect(), key=repr)
+    assert J.range_join(points.select("day"), spans, "day", "s", "e", 8).count() == found.count()
