@@ -2,6 +2,7 @@
 
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests.compare import same, views
@@ -53,3 +54,31 @@ def test_range_join_keeps_every_column_and_row(spark):
     assert found.columns == ["point", "day", "other", "span", "s", "e"]
     assert sorted(found.collect(), key=repr) == sorted(points.join(spans, F.expr("day between s and e")).collect(), key=repr)
     assert J.range_join(points.select("day"), spans, "day", "s", "e", 8).count() == found.count()
+
+
+def test_nearest_writes_each_vector_once_and_breaks_ties_by_id(spark, monkeypatch):
+    """Twelve blocks, among them many equal vectors, zeros, equal ids and values that single precision can't tell apart."""
+    monkeypatch.setattr(J, "BLOCK", 100)
+    monkeypatch.setattr(J, "SHARE", 1 << 15)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 16))
+    x[:300] = x[0]
+    x[300:310] = 0
+    x[310:700] = x[310] + rng.normal(size=(390, 16)) * 1e-5
+    ids = rng.permutation(5000)[:1200]
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    near = np.round(unit @ unit.T, 9)
+    want = {}
+    for k in range(len(ids)):
+        order = np.lexsort((ids, -near[k]))
+        want[int(ids[k])] = [(int(ids[m]), near[k, m]) for m in order if m != k][:5]
+    vectors = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(ids, x, strict=True)], "id long, v array<double>")
+    found = J.nearest(vectors, "id", "v", 5)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query, []).append((r.match, r.cosine))
+    close = [(a, b) for k in want for a, b in zip(want[k], got[k], strict=True)]
+    assert len(got) == 1200 and all(abs(a[1] - b[1]) < 2e-9 for a, b in close)
+    assert sum(a[0] != b[0] for a, b in close) <= 5  # a value halfway between two of nine places
+    assert "explode" not in found._jdf.queryExecution().toString().lower()
+    assert J.nearest(vectors.limit(0), "id", "v", 5).count() == 0 and J.nearest(vectors.limit(1), "id", "v", 5).count() == 0 and J.nearest(vectors.limit(4), "id", "v", 5).count() == 12
