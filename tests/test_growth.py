@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.compare import same, views
 
 from clademill import catalogue
+from clademill.operators import graph
 from clademill.operators import joins as J
 
 
@@ -82,3 +83,22 @@ def test_nearest_writes_each_vector_once_and_breaks_ties_by_id(spark, monkeypatc
     assert sum(a[0] != b[0] for a, b in close) <= 5  # a value halfway between two of nine places
     assert "explode" not in found._jdf.queryExecution().toString().lower()
     assert J.nearest(vectors.limit(0), "id", "v", 5).count() == 0 and J.nearest(vectors.limit(1), "id", "v", 5).count() == 0 and J.nearest(vectors.limit(4), "id", "v", 5).count() == 12
+
+
+def test_components_of_one_large_component_and_a_hub_go_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROWS", 300)
+    edges = [(0, k) for k in range(1, 2500)] + [(k, k + 1) for k in range(5000, 5400)] + [(9000 + k % 7, 9000 + k % 11) for k in range(80)] + [(9999, 9999), (5400, 5000)]
+    df = spark.createDataFrame(edges * 2, "a long, b long")
+    found = {r.node: r.component for r in graph.components(df, "a", "b").collect()}
+    assert found == {**dict.fromkeys([0, *range(1, 2500)], 0), **dict.fromkeys(range(5000, 5401), 5000), **dict.fromkeys(range(9000, 9011), 9000)}
+    rows = df.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    known = spark.range(10000).selectExpr("id as u", "id + 1 as l")
+    monkeypatch.setattr(graph, "ROWS", 1000)
+    out = graph._looked_up(rows, known, "u", 16)
+    assert out.exceptAll(rows.join(known, "u")).isEmpty() and out.count() == rows.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        most = graph._looked_up(rows, known, "u", 16).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert most < 2600  # the hub's 4,998 rows are not in one task
